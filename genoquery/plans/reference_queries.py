@@ -1,0 +1,9 @@
+"""Queries of the genotype engine."""
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
