@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genoquery.llm import leaks, packing, quantiles
+from genoquery.llm import leaks, packing, quantiles, reading
 from genoquery.session import durable, table
 
 # (measure, percentile, limit, whether a case lies below it)
@@ -83,8 +83,24 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_spans(spark, sf_dir).select("doc_id", "item_id")
 
 
+def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The level of every document that is mainly English prose, with its probabilities."""
+    return reading.levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and their reading level."""
+    return p9_levels(spark, sf_dir).select("doc_id", "band")
+
+
+def p9_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, words and mean confidence per source and level."""
+    sources = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return p9_levels(spark, sf_dir).join(sources, "doc_id").groupBy("source", "band").agg(F.count(F.lit(1)).alias("documents"), F.sum("words").alias("words"), F.round(F.avg("confidence"), 3).alias("confidence"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_percentiles, p7_found, p7_containers, p7_fill, p8_found, p8_spans)}
+    return {f.__name__: f for f in (p3_found, p3_percentiles, p7_found, p7_containers, p7_fill, p8_found, p8_spans, p9_found, p9_levels, p9_profile)}
 
 
 def oracle_sql() -> dict[str, str]:
