@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genoquery.llm import leaks, packing, quantiles, reading
+from genoquery.llm import leaks, matching, packing, quantiles, reading
 from genoquery.session import durable, table
 
 # (measure, percentile, limit, whether a case lies below it)
@@ -23,6 +23,16 @@ def _measures(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     return o.select("assay_id", *more, F.explode(pair).alias("m")).select("assay_id", *more, "m.measure", "m.value").where(F.col("value").isNotNull())
 
 
+def p1_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of variant_key and variant_id that mean one variant, with a confidence."""
+    return matching.match(table(spark, sf_dir, "observations"), table(spark, sf_dir, "variant_catalogue"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs alone."""
+    return p1_matches(spark, sf_dir).select("variant_key", "variant_id")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assays whose percentile lies beyond a limit: decided by the summaries' rank bounds, by an exact count where these leave it open."""
     values = _measures(spark, sf_dir)
@@ -100,7 +110,7 @@ def p9_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_percentiles, p7_found, p7_containers, p7_fill, p8_found, p8_spans, p9_found, p9_levels, p9_profile)}
+    return {f.__name__: f for f in (p1_found, p1_matches, p3_found, p3_percentiles, p7_found, p7_containers, p7_fill, p8_found, p8_spans, p9_found, p9_levels, p9_profile)}
 
 
 def oracle_sql() -> dict[str, str]:
