@@ -270,8 +270,8 @@ def calibrate(pairs: DataFrame, bins: int = 20) -> list[float]:
 def match(observations: DataFrame, catalogue: DataFrame) -> DataFrame:
     """``variant_key, variant_id, confidence, score, shift`` of the pairs that mean one variant.
 
-    An entry goes to the key at its place with its change; a place one base off (and for insertions and deletions a few more)
-    counts where no key is nearer and the names do not speak against it; an entry without a place goes by its name. Repeated
+    An entry goes to the key at its place with its change; a place one base off (insertions and deletions: three, and up to ten
+    where the names agree) counts where no key is nearer; an entry without a place goes by its name. Repeated
     entries are pairs of their own; nulls never agree; empty tables give no rows.
     """
     table = lift_table(catalogue)
@@ -291,8 +291,8 @@ def match(observations: DataFrame, catalogue: DataFrame) -> DataFrame:
     far = F.abs("d")
     ok = (
         F.when(F.col("elsewhere"), False).when(F.col("d").isNull(), F.col("named") & (F.col("same") >= 0.5)).when(far == 0, F.col("same") >= 0.5)
-        .when((F.col("type") == "snp") & (far == 1), (F.col("same") >= 0.8) & ~F.coalesce(unlike & ~F.col("named"), F.lit(False)))
-        .when((F.col("type") != "snp") & (far == 1), F.col("same") >= 0.6).when((F.col("type") != "snp") & (far <= 3), (F.col("same") >= 0.8) & ~F.coalesce(unlike & ~F.col("named"), F.lit(False)))
+        .when((F.col("type") == "snp") & (far == 1), F.col("same") >= 0.8).when((F.col("type") != "snp") & (far == 1), F.col("same") >= 0.6)
+        .when((F.col("type") != "snp") & (far <= 3), F.col("same") >= 0.8)
         .when((F.col("type") != "snp") & (far <= REACH + 1), (F.col("same") >= 0.8) & F.coalesce(agree, F.lit(False))).otherwise(False)
     )
     held = pairs.where(ok).select("variant_key", "variant_id", F.col("d").alias("shift"), confidence.alias("confidence"), total.alias("score"), F.struct(F.coalesce(-far, F.lit(-50)).alias("a"), F.col("same").alias("b"), F.coalesce(F.col("named"), F.lit(False)).alias("c")).alias("rank"))
