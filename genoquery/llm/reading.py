@@ -211,9 +211,9 @@ def levels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     fewer than ``LEAST_WORDS`` words of prose, or of which less than half is prose, have no row; nor have null and empty texts.
     """
     votes = labels.where(F.col("band").isin(BANDS)).groupBy(id_col).agg(*[F.count(F.when(F.col("band") == b, 1)).alias(b) for b in BANDS])
-    # the bounded sample: of the labelled documents that are not too long, those that come first by a hash of their id
-    labelled = docs.where(F.length(text_col) <= TRAIN_CHARS).select(id_col, text_col).join(votes, id_col)
-    train = labelled.orderBy(F.xxhash64(id_col), id_col).limit(TRAIN_DOCS).collect()
+    # the bounded sample: the labelled documents that come first by a hash of their id, without those that are too long
+    chosen = votes.orderBy(F.xxhash64(id_col), id_col).limit(TRAIN_DOCS)
+    train = docs.where(F.length(text_col) <= TRAIN_CHARS).select(id_col, text_col).join(F.broadcast(chosen), id_col).collect()
     model = fit([(r[text_col] or "", {b: r[b] for b in BANDS}) for r in sorted(train, key=lambda r: r[id_col])])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
