@@ -8,7 +8,7 @@ so no text can look like a placeholder.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,13 +19,22 @@ QUOTED = "\"[^\"]*\"|'[^']*'"
 DELIMITERS = "[|;/&]|,(?!_)"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` uses it: a lambda's outer expressions run again for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def mask(text: Column, span: str = QUOTED) -> tuple[Column, Column]:
     """The text with each match of ``span`` replaced by a placeholder, and the array of matches."""
     safe = F.replace(text, F.lit(OPEN), F.lit(ESCAPED))
     spans = F.regexp_extract_all(safe, F.lit(f"({span})"), F.lit(1))
-    gaps = F.split(safe, span, -1)
-    last = F.size(gaps) - 1
-    return F.array_join(F.transform(gaps, lambda g, i: F.when(i < last, F.concat(g, F.lit(OPEN), i.cast("string"), F.lit(CLOSE))).otherwise(g)), ""), spans
+    return F.array_join(F.transform(F.split(safe, span, -1), lambda g, i: F.when(i == 0, g).otherwise(F.concat(F.lit(OPEN), (i - 1).cast("string"), F.lit(CLOSE), g))), ""), spans
+
+
+def masked(text: Column, span: str, f: Callable[[Column, Column], Column]) -> Column:
+    """``f`` of the masked text and its spans, each worked out once."""
+    m, spans = mask(text, span)
+    return let(F.struct(m.alias("text"), spans.alias("spans")), lambda s: f(s["text"], s["spans"]))
 
 
 def restore(piece: Column, spans: Column) -> Column:
@@ -33,7 +42,7 @@ def restore(piece: Column, spans: Column) -> Column:
 
     def back(part: Column, i: Column) -> Column:
         name, rest = F.substring_index(part, CLOSE, 1), F.substring(part, F.instr(part, CLOSE) + 1, F.length(part))
-        span = F.replace(F.try_element_at(spans, F.try_to_number(name, F.lit("999999999")).cast("int") + 1), F.lit(ESCAPED), F.lit(OPEN))
+        span = F.replace(F.try_element_at(spans, name.try_cast("int") + 1), F.lit(ESCAPED), F.lit(OPEN))
         return F.when(i == 0, part).when(name == "e", F.concat(F.lit(OPEN), rest)).otherwise(F.concat(span, rest))
 
     return F.when(F.instr(piece, OPEN) == 0, piece).otherwise(F.array_join(F.transform(F.split(piece, OPEN, -1), back), ""))
@@ -47,10 +56,9 @@ def unquote(value: Column) -> Column:
 
 def split_packed(text: Column, delimiters: str = DELIMITERS, span: str = QUOTED) -> Column:
     """The values of a packed field, in order. Null gives null; a field of nothing but delimiters and blanks gives an empty array."""
-    masked, spans = mask(text, span)
     plain = ~text.rlike("[\"'" + OPEN + "]")
     quick = F.transform(F.split(text, delimiters, -1), lambda p: F.trim(p))
-    careful = F.transform(F.split(masked, delimiters, -1), lambda p: unquote(restore(p, spans)))
+    careful = masked(text, span, lambda m, spans: F.transform(F.split(m, delimiters, -1), lambda p: unquote(restore(p, spans))))
     return F.filter(F.when(plain, quick).otherwise(careful), lambda v: v != "")
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from genoquery.operators.packed import mask, restore
+from genoquery.operators.packed import masked, restore
 from genoquery.operators.skew import salted_join
 from genoquery.session import durable
 
@@ -49,19 +49,18 @@ def read_lines(sources: dict[str, DataFrame]) -> DataFrame:
     return lines.where((F.col("text") != "") & ~F.col("text").startswith("#") & ~F.col("text").startswith("//"))
 
 
-def fields_of(text: Column) -> tuple[Column, Column]:
-    """Whether the quoting of a comma separated line is broken, and its fields without quotes and outer blanks."""
-    masked, spans = mask(text, QUOTED_FIELD)
-    has = F.instr(text, '"') > 0
-    broken = has & (F.instr(masked, '"') > 0)
+def fields_of(text: Column) -> Column:
+    """``broken`` (whether the quoting of a comma separated line is) and ``fields`` without quotes and outer blanks."""
 
-    def open_field(piece: Column) -> Column:
+    def open_field(piece: Column, spans: Column) -> Column:
         v = F.trim(restore(piece, spans))
         quoted = v.startswith('"') & v.endswith('"') & (F.length(v) >= 2)
         return F.when(quoted, F.trim(F.replace(F.substring(v, F.lit(2), F.length(v) - 2), F.lit('""'), F.lit('"')))).otherwise(v)
 
-    fields = F.when(has, F.transform(F.split(masked, ",", -1), open_field)).otherwise(F.transform(F.split(text, ",", -1), lambda p: F.trim(p)))
-    return broken, fields
+    both = lambda broken, fields: F.struct(broken.alias("broken"), fields.alias("fields"))
+    plain = both(F.lit(False), F.transform(F.split(text, ",", -1), lambda p: F.trim(p)))
+    quoted = masked(text, QUOTED_FIELD, lambda m, spans: both(F.instr(m, '"') > 0, F.transform(F.split(m, ",", -1), lambda p: open_field(p, spans))))
+    return F.when(F.instr(text, '"') == 0, plain).otherwise(quoted)
 
 
 def known_field(name: Column) -> Column:
@@ -73,16 +72,18 @@ def known_field(name: Column) -> Column:
 def raw_type(v: Column) -> Column:
     """The raw type of a value as written."""
     return (
-        F.when(v == "", "blank").when(v.rlike(r"^-?\d+$"), "int").when(v.rlike(r"^\d+\.0+$"), "whole_decimal").when(v.rlike(r"^-?\d+\.\d+$"), "decimal")
-        .when(v.rlike(r"^(?i:chr)?(?:\d{1,2}|[XYM]|MT):\d+$"), "locus").when(v.rlike(r"^(?i:rs|i)\d+$"), "name").when(v.rlike("^(?i:chr|chrom|chromosome)[ _]?(?:[0-9]{1,2}|X|Y|M|MT)$"), "chr_word")
-        .when(v.rlike("^[ACGTID0-]$"), "allele").when(v.rlike("^(?:[ACGTID]{2}|--)$"), "pair").when(v.rlike("^[ACGTID][/|][ACGTID]$"), "slashed_pair").otherwise("text")
+        F.when(v == "", "blank").when(v.rlike(r"^-?\d+$"), "int").when(v.rlike("^[ACGTID0-]$"), "allele").when(v.rlike(r"^(?i:rs|i)\d+$"), "name").when(v.rlike("^(?:[ACGTID]{2}|--)$"), "pair")
+        .when(v.rlike(r"^(?i:chr)?(?:\d{1,2}|[XYM]|MT):\d+$"), "locus").when(v.rlike(r"^\d+\.0+$"), "whole_decimal").when(v.rlike(r"^-?\d+\.\d+$"), "decimal")
+        .when(v.rlike("^(?i:chr|chrom|chromosome)[ _]?(?:[0-9]{1,2}|X|Y|M|MT)$"), "chr_word").when(v.rlike("^[ACGTID][/|][ACGTID]$"), "slashed_pair").otherwise("text")
     )
 
 
 def data_lines(split: DataFrame, files: DataFrame) -> DataFrame:
     """The lines with their file's columns, without the header and its repeats."""
     rows = salted_join(split, files, ["file_id"], ["line_no"])
-    return rows.where((F.col("line_no") != F.col("header_line")) & (F.transform("fields", compared) != F.col("names"))).drop("header_line")
+    # only a line whose first field is the header's is compared in full
+    repeat = (compared(F.get("fields", F.lit(0))) == F.get("names", F.lit(0))) & (F.transform("fields", compared) == F.col("names"))
+    return rows.where((F.col("line_no") != F.col("header_line")) & ~repeat).drop("header_line")
 
 
 def parse(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -91,9 +92,9 @@ def parse(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     Lines: ``vendor, file_id, line_no, text, broken, fields, names, roles, position_as, coded``; the header and its
     repeats are left out. Files: ``vendor, file_id, names, roles, profile`` and the notation columns.
     """
-    split = lines.select("vendor", "file_id", "line_no", "text", *[c.alias(n) for n, c in zip(("broken", "fields"), fields_of(F.col("text")))])
+    split = lines.select("vendor", "file_id", "line_no", "text", fields_of(F.col("text")).alias("p")).select("vendor", "file_id", "line_no", "text", "p.broken", "p.fields")
     first = lines.groupBy("vendor", "file_id").agg(F.min_by("text", "line_no").alias("header"), F.min("line_no").alias("header_line"))
-    names = first.select("vendor", "file_id", "header_line", F.transform(fields_of(F.col("header"))[1], compared).alias("head"))
+    names = first.select("vendor", "file_id", "header_line", F.transform(fields_of(F.col("header"))["fields"], compared).alias("head"))
     base = F.when(F.col("vendor") == "ancestrydna_csv", F.array(*map(F.lit, BASE["ancestrydna_csv"]))).otherwise(F.array(*map(F.lit, BASE["familytreedna"])))
     # a file whose first line names no field has no header and is read by the base layout
     headed = F.exists("head", lambda n: known_field(n).isNotNull())

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genoquery.functions import genotype as G
-from genoquery.operators.packed import mask, restore
+from genoquery.operators.packed import masked, restore
 from genoquery.operators.skew import salted_join
 
 # Names of the columns in exports, compared in lower case without blanks, "_" and "-".
@@ -38,8 +38,7 @@ def delimiter(first: Column) -> Column:
 
 def split_quoted(line: Column) -> Column:
     """Comma separated fields; a quote toggles and is dropped, a doubled quote is no escape, an open one runs to the end."""
-    masked, spans = mask(line, '"[^"]*(?:"|$)')
-    return F.transform(F.split(masked, ",", -1), lambda p: F.trim(F.replace(restore(p, spans), F.lit('"'), F.lit(""))))
+    return masked(line, '"[^"]*(?:"|$)', lambda m, spans: F.transform(F.split(m, ",", -1), lambda p: F.trim(F.replace(restore(p, spans), F.lit('"'), F.lit("")))))
 
 
 def split_by(line: Column, kind: Column) -> Column:
