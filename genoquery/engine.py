@@ -61,4 +61,4 @@ class Engine:
     write_tsv = staticmethod(sinks.write_tsv)
 
     def read_tsv(self, path: str) -> DataFrame:
-        return self.spark.read.csv(path, sep="\t", header=True)
+        return sinks.read_tsv(self.spark, path)

@@ -432,25 +432,25 @@ def agg_01(spark, sf):
 CIGARS = Cases("i int, start long, stop long, cigar string", [(1, 100, 149, "50M"), (2, 100, 151, "20M2D30M"), (3, 100, 147, "20M2I28M"), (4, 95, 140, "5S46M"), (5, 100, 159, "10M20N30M"), (6, 119, 168, "3H50M"), (7, 100, 169, "20M2I10M1D39M"), (8, 121, 170, "50=")])
 
 
-@query("agg_04")
+@query("agg_04", """select * from (values (1, 0, 19, 20, 21, 22, 30), (2, 0, 19, null, null, 20, 28), (3, 0, 19, 22, 23, 24, 32), (4, 10, 29, 30, 31, 32, 40), (5, 0, null, null, null, null, 10), (6, null, 0, 1, 2, 3, 11), (7, 0, 19, 22, 23, 24, null), (8, null, null, null, 0, 1, 9)) t(i, at_100, at_119, at_120, at_121, at_122, at_130)""")
 def agg_04(spark, sf):
     x = CIGARS.df(spark).withColumn("ops", reads.parse_cigar(C("cigar")))
     return x.select("i", *[reads.index_at(C("ops"), C("start"), F.lit(p).cast("long")).alias(f"at_{p}") for p in (100, 119, 120, 121, 122, 130)])
 
 
-@query("agg_05")
+@query("agg_05", """select * from (values (1, null, null), (2, 'D', 2), (3, 'I', 2), (4, null, null), (5, null, null), (6, null, null), (7, 'I', 2), (8, null, null)) t(i, kind, len)""")
 def agg_05(spark, sf):
     x = CIGARS.df(spark).withColumn("ops", reads.parse_cigar(C("cigar"))).withColumn("hit", reads.indel_at(C("ops"), C("start"), F.lit(119).cast("long")))
     return x.select("i", C("hit.kind").alias("kind"), C("hit.len").alias("len"))
 
 
-@query("agg_03")
+@query("agg_03", """select 7 as depth, 4 as ref_like, 2 as alt_count, [0, 2, 4] as lengths""")
 def agg_03(spark, sf):
     x = CIGARS.df(spark).withColumn("ops", reads.parse_cigar(C("cigar"))).withColumn("len", reads.observed_length(C("ops"), C("start"), C("stop"), F.lit(120).cast("long"), F.lit(121).cast("long"), F.lit(2)))
     return x.where("len is not null").agg(_n().alias("depth"), F.count_if(C("len") == 2).alias("ref_like"), F.count_if(C("len") == 4).alias("alt_count"), F.array_sort(F.collect_set("len")).alias("lengths"))
 
 
-@query("agg_02")
+@query("agg_02", """select 7 as depth, 1 as alt_count, 6 as ref_count""")
 def agg_02(spark, sf):
     x = CIGARS.df(spark).withColumn("ops", reads.parse_cigar(C("cigar"))).withColumn("hit", reads.indel_at(C("ops"), C("start"), F.lit(119).cast("long")))
     spans = (C("start") - 1 <= 119) & (C("stop") >= 119)

@@ -5,13 +5,16 @@ from __future__ import annotations
 import html
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Columns of the observation table and of the manifest rows, in order.
 OBSERVATION = ["participant_id", "assay_id", "assay_version", "variant_key", "rsid", "gene", "assembly", "chrom", "pos_start", "pos_end", "ref", "alt", "kind", "match_status", "coverage_status", "call_status", "genotype", "genotype_display", "zygosity", "ref_count", "alt_count", "depth", "genotype_quality", "allele_balance", "outcome", "evidence_type", "evidence_raw", "match_quality", "match_notes", "facets"]
 MANIFEST_ROW = ["kind", "name", "path", "tags", "participant_id", "backend", "matched_rsid", "assembly", "genotype", "ref_count", "alt_count", "depth", "evidence"]
 
+# marks and newlines are gone from the values, so nothing is quoted; blanks stay as they are
+PLAIN = {"sep": "\t", "quote": "", "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
 
 def tsv_line(df: DataFrame, columns: list[str], marks: str = "[\t\r\n]") -> Column:
     """The columns as one tab separated line: ``marks`` become blanks, null and absent columns are empty."""
@@ -23,7 +26,12 @@ def write_tsv(df: DataFrame, path: str, columns: list[str] | None = None) -> Non
     """A tab separated table with a header in each part; extra columns are left out, missing ones are empty."""
     columns = columns or df.columns
     clean = [F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), "[\t\r\n]", " ").alias(c) if c in df.columns else F.lit("").alias(c) for c in columns]
-    df.select(*clean).write.mode("overwrite").option("emptyValue", "").csv(path, sep="\t", header=True)
+    df.select(*clean).write.mode("overwrite").options(**PLAIN).csv(path, header=True)
+
+
+def read_tsv(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_tsv`` wrote, as text; empty values are null."""
+    return spark.read.options(**PLAIN).csv(path, header=True)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:

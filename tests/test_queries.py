@@ -6,7 +6,7 @@ import pytest
 
 from tests.conftest import DATA, agrees
 
-MODULES = [importlib.import_module(f"genoquery.plans.{m}") for m in ("data_queries", "scalar_queries", "relational_queries", "source_queries")]
+MODULES = [importlib.import_module(f"genoquery.plans.{m}") for m in ("data_queries", "scalar_queries", "relational_queries", "source_queries", "api_queries")]
 
 
 @pytest.mark.parametrize(("module", "name"), [(m, n) for m in MODULES for n in m.oracle_sql()], ids=lambda x: x if isinstance(x, str) else "")
