@@ -141,6 +141,7 @@ def observed_variants(observations: DataFrame, table: DataFrame) -> DataFrame:
     o = observations.where(F.col("variant_key").isNotNull())
     p = F.when(F.col("pos_start").between(1, MAX_POSITION), F.col("pos_start"))
     loci = o.groupBy("variant_key", "assay_id", clean_chrom(F.col("chrom")).alias("chrom"), (F.upper("assembly") == "GRCH37").alias("old"), p.alias("p")).agg(F.count(F.lit(1)).alias("c"))
+    loci = durable(loci)
     # a row without a chromosome takes its key's
     chrom = _mode(loci, "variant_key", "chrom")
     loci = loci.drop("chrom").join(chrom, "variant_key").where(F.col("p").isNotNull())
@@ -152,12 +153,14 @@ def observed_variants(observations: DataFrame, table: DataFrame) -> DataFrame:
     right = salted_join(loci, shifts, ["assay_id"], ["variant_key", "pos"]).withColumn("pos", F.col("pos") + F.col("shift"))
     pos = _mode(right, "variant_key", "pos")
     seq = lambda c: F.upper(F.trim(c))
+    # the counts are read several times and are far fewer than the rows
     alleles = o.groupBy("variant_key", seq(F.col("reference")).alias("r"), seq(F.col("alternate")).alias("a"), F.lower("kind").alias("kind"), (F.col("pos_end") - F.col("pos_start")).alias("gap")).agg(F.count(F.lit(1)).alias("c"))
+    alleles = durable(alleles)
     known = F.col("r").rlike(ACGT) & F.col("a").rlike(ACGT) & ~((F.col("r") == "D") | (F.col("a") == "D"))
     pair = _mode(alleles.withColumn("pair", F.when(known, F.struct("r", "a"))), "variant_key", "pair")
     kind = _mode(alleles, "variant_key", "kind")
     gap = _mode(alleles, "variant_key", "gap")
-    names = o.groupBy("variant_key", clean_name(F.col("rsid")).alias("name")).agg(F.count(F.lit(1)).alias("c"))
+    names = durable(o.groupBy("variant_key", clean_name(F.col("rsid")).alias("name")).agg(F.count(F.lit(1)).alias("c")))
     keys = names.groupBy("variant_key").agg(F.sum("c").alias("n"))
     out = keys
     for x in (chrom, pos, pair, kind, gap, _mode(names, "variant_key", "name")):
