@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +31,17 @@ def durable(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared folder and cuts its lineage, so that a lost executor costs nothing upstream."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python, once a session, so that they need not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_genoquery_sent", False):
+        return
+    root = Path(__file__).parent
+    name = Path(tempfile.mkdtemp(prefix="genoquery-")) / "genoquery.zip"  # Spark serves it from the driver
+    with zipfile.ZipFile(name, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, Path("genoquery") / f.relative_to(root))
+    sc.addPyFile(str(name))
+    sc._genoquery_sent = True

@@ -16,6 +16,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from genoquery.session import ship
+
 # Endings of genotype files inside an archive.
 ENDINGS = tuple(f".{a}{b}" for a in ("txt", "csv", "tsv") for b in ("", ".gz", ".bgz")) + (".vcf", ".vcf.gz", ".bcf")
 READ_SCHEMA = "file string, name string, flag int, chrom string, start long, stop long, mapq int, cigar array<struct<kind:string,len:int>>, seq string, qual array<int>"
@@ -73,6 +75,7 @@ def zip_lines(spark: SparkSession, paths: list[str], most_bytes: int = 1 << 31)
                                 out = []
                         yield pd.DataFrame(out, columns=["file", "line_no", "line"])
 
+    ship(spark)
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, "file string, line_no long, line string")
 
 
@@ -189,5 +192,6 @@ class Bcf(Bam):
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     spark.dataSource.register(Bam)
     spark.dataSource.register(Bcf)
