@@ -19,6 +19,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from genoquery.session import ship
+
 MAX_ITEM_CHARS = 8_000_000  # of one automaton; more items make more automata
 GRAM = 3
 LEAK_SHARE = 0.42
@@ -137,6 +139,7 @@ def find(docs: DataFrame, items: list[tuple[int, str]], id_col: str = "doc_id",
             blocks.append([])
             size = len(row[1] or "")
         blocks[-1].append(row)
+    ship(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(blocks)
 

@@ -210,21 +210,21 @@ def _index(df: DataFrame, ids: list[str], vector: str) -> DataFrame:
 
 
 def candidates(keys: DataFrame, entries: DataFrame) -> DataFrame:
-    """``variant_key, variant_id`` of the pairs that share a chunk of the locus vector, or, where a side has no locus, of the name vector."""
+    """``variant_key, cid`` of the pairs that share a chunk of the locus vector, or, where a side has no locus, of the name vector."""
     on = ["__j", "__chunk"]
-    by_place = _index(keys, ["variant_key"], "locus").join(_index(entries, ["variant_id"], "locus"), on)
-    named = entries.select("variant_id", "locus", F.explode("names").alias("name")).withColumn("named", name_vector(F.col("name")))
-    lost_entries = _index(named.where(F.col("locus").isNull()), ["variant_id"], "named")
+    by_place = _index(keys, ["variant_key"], "locus").join(_index(entries, ["cid"], "locus"), on)
+    named = entries.select("cid", "locus", F.explode("names").alias("name")).withColumn("named", name_vector(F.col("name")))
+    lost_entries = _index(named.where(F.col("locus").isNull()), ["cid"], "named")
     lost_keys = _index(keys.where(F.col("locus").isNull()), ["variant_key"], "named")
-    by_name = _index(keys, ["variant_key"], "named").join(lost_entries, on).select("variant_key", "variant_id").unionByName(lost_keys.join(_index(named, ["variant_id"], "named"), on).select("variant_key", "variant_id"))
-    return by_place.select("variant_key", "variant_id").unionByName(by_name).distinct()
+    by_name = _index(keys, ["variant_key"], "named").join(lost_entries, on).select("variant_key", "cid").unionByName(lost_keys.join(_index(named, ["cid"], "named"), on).select("variant_key", "cid"))
+    return by_place.select("variant_key", "cid").unionByName(by_name).distinct()
 
 
 def score(keys: DataFrame, entries: DataFrame) -> DataFrame:
     """The candidate pairs with their Dice scores per field and the comparison of place and change."""
     k = keys.select("variant_key", *[F.col(c).alias(f"k_{c}") for c in ("chrom", "pos", "type", "seq", "size", "name", "locus", "named", "change", "r", "a")])
-    e = entries.select("variant_id", "chrom", "pos", "type", "seq", "size", "names", "locus", "change", "r", "a")
-    pairs = candidates(keys, entries).join(k, "variant_key").join(e, "variant_id")
+    e = entries.select("cid", "chrom", "pos", "type", "seq", "size", "names", "locus", "change", "r", "a")
+    pairs = candidates(keys, entries).join(k, "variant_key").join(e, "cid")
     d = F.col("pos") - F.col("k_pos")
     s, t, ks = F.col("seq"), F.col("type"), F.col("k_seq")
     swap = lambda x: F.concat(F.substring(x, 2, 1), F.substring(x, 1, 1))
@@ -241,7 +241,7 @@ def score(keys: DataFrame, entries: DataFrame) -> DataFrame:
     same = F.when(t != F.col("k_type"), 0.0).when(t == "snp", snp).when(t.isNull() | F.col("k_type").isNull(), 0.3).otherwise(indel)
     names = F.array_max(F.transform("names", lambda n: dice(name_vector(n), F.col("k_named"))))
     return pairs.select(
-        "variant_key", "variant_id", F.when(F.col("chrom") == F.col("k_chrom"), d).alias("d"), ((F.col("chrom") != F.col("k_chrom")) & F.col("pos").isNotNull() & F.col("k_pos").isNotNull()).alias("elsewhere"), F.coalesce(t, F.col("k_type")).alias("type"), same.alias("same"),
+        "variant_key", "cid", F.when(F.col("chrom") == F.col("k_chrom"), d).alias("d"), ((F.col("chrom") != F.col("k_chrom")) & F.col("pos").isNotNull() & F.col("k_pos").isNotNull()).alias("elsewhere"), F.coalesce(t, F.col("k_type")).alias("type"), same.alias("same"),
         F.array_contains("names", F.col("k_name")).alias("named"), dice(F.col("locus"), F.col("k_locus")).alias("locus"), names.alias("name"), dice(F.array("change"), F.array("k_change")).alias("change"),
     )
 
@@ -282,7 +282,12 @@ def match(observations: DataFrame, catalogue: DataFrame) -> DataFrame:
     vec = {"locus": locus_vector(F.col("chrom"), F.col("pos"))}
     canon = F.when(F.col("type") == "snp", F.array_min(F.array(F.array_join(F.array_sort(F.split("seq", "")), ""), F.array_join(F.array_sort(F.split(complement(F.col("seq")), "")), "")))).otherwise(F.least(F.col("seq"), complement(F.col("seq"))))
     keys = durable(keys.withColumns(vec | {"named": name_vector(F.col("name")), "change": change_vector(F.coalesce("type", F.lit("?")), canon)}))
-    entries = durable(catalogue_variants(catalogue, table).withColumns(vec | {"change": change_vector(F.coalesce("type", F.lit("?")), canon)}))
+    # entries of one content are compared once, however often they are repeated
+    content = ["chrom", "pos", "type", "seq", "size", "r", "a", "names"]
+    written = catalogue_variants(catalogue, table)
+    written = durable(written.select("variant_id", *content, F.md5(F.to_json(F.struct(*content), {"ignoreNullFields": "false"})).alias("cid")))
+    members = written.select("cid", "variant_id").distinct()
+    entries = durable(written.select("cid", *content).dropDuplicates(["cid"]).withColumns(vec | {"change": change_vector(F.coalesce("type", F.lit("?")), canon)}))
     pairs = durable(score(keys, entries))
     table_ = calibrate(pairs)
     total = weighted(["locus", "change", "name"])
@@ -298,6 +303,7 @@ def match(observations: DataFrame, catalogue: DataFrame) -> DataFrame:
         .when((F.col("type") != "snp") & (far <= 3), F.col("same") >= 0.8)
         .when((F.col("type") != "snp") & (far <= REACH + 1), (F.col("same") >= 0.8) & F.coalesce(agree, F.lit(False))).otherwise(False)
     )
-    held = pairs.where(ok).select("variant_key", "variant_id", F.col("d").alias("shift"), confidence.alias("confidence"), total.alias("score"), F.struct(F.coalesce(-far, F.lit(-50)).alias("a"), F.col("same").alias("b"), F.coalesce(F.col("named"), F.lit(False)).alias("c")).alias("rank"))
+    held = pairs.where(ok).select("variant_key", "cid", F.col("d").alias("shift"), confidence.alias("confidence"), total.alias("score"), F.struct(F.coalesce(-far, F.lit(-50)).alias("a"), F.col("same").alias("b"), F.coalesce(F.col("named"), F.lit(False)).alias("c")).alias("rank"))
+    held = salted_join(members, held, ["cid"], ["variant_id"])
     best = held.withColumn("top", F.max("rank").over(Window.partitionBy("variant_id"))).where("rank = top")
     return best.groupBy("variant_key", "variant_id").agg(F.max("confidence").alias("confidence"), F.max("score").alias("score"), F.min_by("shift", F.abs("shift")).alias("shift"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from genoquery.operators.skew import AT, BLOCK, number_rows
-from genoquery.session import durable
+from genoquery.session import durable, ship
 
 CAPACITY = 4096
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -48,6 +48,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             yield pd.DataFrame({id_col: b[id_col], "n_tokens": [len(enc.encode_ordinary(t)) if isinstance(t, str) and t else 0 for t in b[text_col]]})
 
+    ship(docs.sparkSession)
     return docs.select(id_col, text_col).mapInPandas(run, f"{id_col} long, n_tokens long")
 
 

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from genoquery.session import ship
+
 PERMITTED = 0.0005  # of n, each way
 BUFFER = 100_000  # values held per group before they are summarised
 FAN_IN = 32
@@ -114,6 +116,7 @@ def summarise(df: DataFrame, keys: Sequence[str], measure: str, value: str, perm
             flush(k)
         yield pd.DataFrame([(*k, *s.row()) for k, s in done.items()], columns=[*cols, *COLUMNS])
 
+    ship(df.sparkSession)
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in cols)
     parts = df.select(*cols, F.col(value).cast("double").alias(value)).mapInPandas(run, f"{fields}, {SCHEMA}")
     return combine(parts, cols, permitted)
@@ -124,6 +127,7 @@ def combine(summaries: DataFrame, keys: Sequence[str], permitted: float = PERMIT
 
     A null and an absent summary are the same. A single summary comes back as it is, compressed.
     """
+    ship(summaries.sparkSession)
     fields = ", ".join(f"`{c}` {summaries.schema[c].dataType.simpleString()}" for c in keys)
 
     def tree(todo: list[Summary]) -> Summary:
@@ -148,6 +152,7 @@ def combine(summaries: DataFrame, keys: Sequence[str], permitted: float = PERMIT
 
 def percentiles(summaries: DataFrame, keys: Sequence[str], pcts: Sequence[float]) -> DataFrame:
     """``keys, pct, value, n, rank_error`` for each percentile: the value at about rank ceil(pct * n / 100)."""
+    ship(summaries.sparkSession)
     fields = ", ".join(f"`{c}` {summaries.schema[c].dataType.simpleString()}" for c in keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,6 +169,7 @@ def percentiles(summaries: DataFrame, keys: Sequence[str], pcts: Sequence[float]
 
 def counts_at(summaries: DataFrame, keys: Sequence[str], limits: dict[str, Sequence[float]], measure: str) -> DataFrame:
     """Bounds of the counts below and at most each limit of a measure: ``keys, limit, n, lt_lo, lt_hi, le_lo, le_hi``."""
+    ship(summaries.sparkSession)
     fields = ", ".join(f"`{c}` {summaries.schema[c].dataType.simpleString()}" for c in keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

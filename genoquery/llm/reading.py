@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from genoquery.session import ship
+
 BANDS = ["basic", "general", "expert"]
 TRAIN_DOCS = 1000
 TRAIN_CHARS = 20_000
@@ -237,4 +239,5 @@ def levels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 at = end
             yield pd.DataFrame(out, columns=[id_col, "words", "prose_share", "band", "confidence", "p_basic", "p_general", "p_expert"])
 
+    ship(docs.sparkSession)
     return docs.select(id_col, text_col).mapInPandas(run, f"{id_col} long, words long, prose_share double, band string, confidence double, p_basic double, p_general double, p_expert double")
