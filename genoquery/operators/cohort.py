@@ -32,7 +32,7 @@ def status_statistics(status: DataFrame, known: list[str]) -> DataFrame:
     total = got.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("number"))
     all_ = status.sparkSession.createDataFrame([(k,) for k in known], "status string")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    out = all_.join(got, "status", "left").join(F.broadcast(total))  # total is one row
+    out = all_.join(got, "status", "left").withColumn("number", total.scalar())
     return out.select("status", zero(F.col("count")).alias("count"), "number", zero(F.col("hetero")).alias("hetero"), zero(F.col("homo")).alias("homo"), F.format_string("%.6f", F.when(F.col("number") > 0, zero(F.col("count")) / F.col("number")).otherwise(F.lit(0.0))).alias("frequency"))
 
 

@@ -37,7 +37,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
     for name, rows in (("observations", _observations(spark, sf_dir)), ("thalassemia_clinvar", _genes(spark, sf_dir))):
         total = table(spark, sf_dir, name).agg(F.count(F.lit(1)).alias("total"))
-        hot = _sizes(rows).join(F.broadcast(total)).where(F.col("n") * HOT_SHARE >= F.col("total"))  # total is one row
+        hot = _sizes(rows).where(F.col("n") * HOT_SHARE >= total.scalar())
         parts.append(hot.select(F.lit(name).alias("table_name"), "key_value"))
     return parts[0].unionByName(parts[1])
 
