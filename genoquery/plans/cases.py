@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from genoquery.session import table
 
@@ -60,3 +61,16 @@ READS = """select event_id, concat('q', cast(event_id % 5000 as string)) as name
     substr('ACGTN', cast(1 + event_id % 5 as int), 1) as base, cast(event_id % 40 as int) as qual, cast(user_id % 2048 as int) as flag from {events}"""
 CALLS = """select record_id, participant_id as pid, case when lower(chrom) like 'chr%' then substr(chrom, 4) else chrom end as chrom, upper(reference) as ref, upper(alternate) as alt, kind, genotype_display as display,
     ref_count, alt_count, depth, gene, zygosity, outcome, lower(rsid) as rsid, pos_start as pos, assay_id, genotype from {observations}"""
+
+
+def flatten(queries: dict, sql: dict[str, str], arrays: dict[str, list[str]]) -> None:
+    """Gives array columns as text joined by bars in both engines, so that results compare by plain values."""
+    for name, columns in arrays.items():
+
+        def run(spark, sf, f=queries[name], columns=columns):
+            df = f(spark, sf)
+            return df.withColumns({c: F.array_join(df[c].cast("array<string>"), "|") for c in columns})
+
+        run.__doc__ = queries[name].__doc__
+        queries[name] = run
+        sql[name] = f"select * replace ({', '.join(f'''array_to_string(list_transform({c}, lambda x: cast(x as varchar)), '|') as {c}''' for c in columns)}) from ({sql[name]})"

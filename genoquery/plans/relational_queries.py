@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from genoquery.functions import genotype as G
 from genoquery.operators import cohort, inspect, lookup, reads, vntr
-from genoquery.plans.cases import CALLS, READS, ROWS, SPECS, Cases, plain, view
+from genoquery.plans.cases import CALLS, READS, ROWS, SPECS, Cases, flatten, plain, view
 from genoquery.session import table
 
 C = F.col
@@ -646,7 +646,7 @@ def agg_25(spark, sf):
     return alts.join(people, ["chrom", "pos"])
 
 
-@query("agg_28", "select source, sum(length(text) - length(replace(text, chr(10), ''))) as lines, count(*) as records from documents where text is not null group by 1")
+@query("agg_28", "select source, cast(sum(length(text) - length(replace(text, chr(10), ''))) as bigint) as lines, count(*) as records from documents where text is not null group by 1")
 def agg_28(spark, sf):
     return table(spark, sf, "documents").where("text is not null").groupBy("source").agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).alias("lines"), F.count(F.lit(1)).alias("records"))
 
@@ -798,6 +798,9 @@ def flagship(spark, sf):
     return lookup.winners(lookup.by_name(o, c.select("vid", "rsid")), lookup.by_place(o, c), keep=("genotype",))
 
 
+flatten(QUERIES, SQL, {"win_07": ["ids"], "set_03": ["names"], "srt_07": ["examples"], "agg_03": ["lengths"]})
+
+
 def queries() -> dict:
     return QUERIES
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from genoquery.functions import genotype as G
-from genoquery.plans.cases import CALLS, Cases, plain, view
+from genoquery.plans.cases import CALLS, Cases, flatten, plain, view
 
 C = F.col
 QUERIES: dict = {}
@@ -158,7 +158,7 @@ def _calls(spark, sf):
     return view(spark, sf, CALLS).select("ref", "alt", "ref_count", "alt_count", "depth").unionByName(COUNTS.df(spark))
 
 
-@query("call_01", f"select call, count(*) as n, sum(depth) as depth from (select *, {_SNP} as call from {_CALLS_C} where depth >= 0) group by all")
+@query("call_01", f"select call, count(*) as n, cast(sum(depth) as bigint) as depth from (select *, {_SNP} as call from {_CALLS_C} where depth >= 0) group by all")
 def call_01(spark, sf):
     x = _calls(spark, sf).where("depth >= 0")
     return x.withColumn("call", G.call_snp(*[C(c) for c in ("ref", "alt", "ref_count", "alt_count", "depth")])).groupBy("call").agg(F.count(F.lit(1)).alias("n"), F.sum("depth").alias("depth"))
@@ -468,6 +468,9 @@ def srt_03(spark, sf):
     return LEVELS.df(spark).select("v", rank.alias("rank"))
 
 
+flatten(QUERIES, SQL, {"leg_01": ["not_a", "joined", "less"]})
+
+
 def queries() -> dict:
     return QUERIES
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from genoquery.functions import genotype as G
 from genoquery.operators.cohort import merge_replicates
-from genoquery.plans.cases import CALLS, Cases, plain, view
+from genoquery.plans.cases import CALLS, Cases, flatten, plain, view
 from genoquery.session import table
 from genoquery.sources import binary, manifest, sinks, text
 from genoquery.streaming import arrivals
@@ -351,6 +351,9 @@ def api_06(spark, sf):
     return e.lookup_variants(rows, e.query_plan([variant(rsid="rs7040732293"), variant(grch38="11:5226725-5226725")])).select("pid", "vid", "genotype")
 
 
+flatten(QUERIES, SQL, {"src_07": ["f"], "src_13": ["alts"], "src_24": ["rsids", "observed"]})
+
+
 def queries() -> dict:
     return QUERIES
 
