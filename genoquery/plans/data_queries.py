@@ -124,6 +124,8 @@ def oracle_sql() -> dict[str, str]:
         "p2_chrom": f"""with o as (select {_CHROM} as chrom, coalesce(outcome = 'variant', false) as v, file_at from read_parquet_order),
             n as (select chrom, v, row_number() over (partition by chrom order by file_at) - row_number() over (partition by chrom, v order by file_at) as g from o where chrom is not null)
             select chrom, sum(c)::bigint as rows, sum(case when v then c else 0 end)::bigint as variants, max(case when v then c else 0 end)::bigint as longest_run from (select chrom, v, g, count(*) as c from n group by 1, 2, 3) group by 1""".replace("from read_parquet_order", "from (select outcome, chrom, row_number() over () as file_at from observations)"),
+        "p2_chrom_depth": f"""with o as (select {_CHROM} as chrom, record_id, depth, row_number() over () as file_at from observations)
+            select chrom, count(*) as rows, count(depth) filter (where depth >= 0) as usable, cast(sum(depth) filter (where depth >= 0) as bigint) as depth_sum, arg_min(record_id, file_at) as first_record, arg_max(record_id, file_at) as last_record from o where chrom is not null group by 1""",
         "p2_gene": f"select g.gene, count(*) as rows, count(t.position) as positions, min(t.position) as first_position, max(t.position) as last_position from ({_GENES}) g join thalassemia_clinvar t using (row_id) group by 1",
         "p4_found": _unnest(2),
         "p4_values": _unnest(1),
