@@ -273,9 +273,10 @@ def calibrate(pairs: DataFrame, bins: int = 20) -> list[float]:
 def match(observations: DataFrame, catalogue: DataFrame) -> DataFrame:
     """``variant_key, variant_id, confidence, score, shift`` of the pairs that mean one variant.
 
-    An entry goes to the key at its place with its change; a place one base off (insertions and deletions: three, and up to ten
-    where the names agree) counts where no key is nearer; an entry without a place goes by its name. Repeated
-    entries are pairs of their own; nulls never agree; empty tables give no rows.
+    An entry goes to the key at its place with its change; a place one base off counts where no key is
+    nearer (insertions and deletions: up to ten with the same bases on either strand, or the same length where a side has no
+    bases). Names change the confidence and choose between keys more than three bases off; an entry without a place goes by
+    its name. Repeated entries are pairs of their own; nulls never agree; empty tables give no rows.
     """
     table = lift_table(catalogue)
     keys = observed_variants(observations, table)
@@ -300,10 +301,11 @@ def match(observations: DataFrame, catalogue: DataFrame) -> DataFrame:
     ok = (
         F.when(F.col("elsewhere"), False).when(F.col("d").isNull(), F.col("named") & (F.col("same") >= 0.5)).when(far == 0, F.col("same") >= 0.5)
         .when((F.col("type") == "snp") & (far == 1), F.col("same") >= 0.8).when((F.col("type") != "snp") & (far == 1), F.col("same") >= 0.6)
-        .when((F.col("type") != "snp") & (far <= 3), F.col("same") >= 0.8)
-        .when((F.col("type") != "snp") & (far <= REACH + 1), (F.col("same") >= 0.8) & F.coalesce(agree, F.lit(False))).otherwise(False)
+        .when((F.col("type") != "snp") & (far <= REACH + 1), F.col("same") >= 0.8).otherwise(False)
     )
-    held = pairs.where(ok).select("variant_key", "cid", F.col("d").alias("shift"), confidence.alias("confidence"), total.alias("score"), F.struct(F.coalesce(-far, F.lit(-50)).alias("a"), F.col("same").alias("b"), F.coalesce(F.col("named"), F.lit(False)).alias("c")).alias("rank"))
+    # more than three bases off, a key whose name agrees goes before a nearer one
+    near = F.when(far <= 3, -far).when(far > 3, F.when(agree, -4).otherwise(-5)).otherwise(-50)
+    held = pairs.where(ok).select("variant_key", "cid", F.col("d").alias("shift"), confidence.alias("confidence"), total.alias("score"), F.struct(near.alias("a"), F.coalesce(-far, F.lit(-50)).alias("f"), F.col("same").alias("b"), F.coalesce(F.col("named"), F.lit(False)).alias("c")).alias("rank"))
     held = salted_join(members, held, ["cid"], ["variant_id"])
     best = held.withColumn("top", F.max("rank").over(Window.partitionBy("variant_id"))).where("rank = top")
     return best.groupBy("variant_key", "variant_id").agg(F.max("confidence").alias("confidence"), F.max("score").alias("score"), F.min_by("shift", F.abs("shift")).alias("shift"))

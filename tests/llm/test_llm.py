@@ -210,5 +210,18 @@ def test_matching(spark):
     assert all(0 <= c <= 1 for c in got.values())
 
 
+def test_shifted_indels_need_no_name(spark):
+    cut = lambda k, p, rs=None, r="ACC", a="A": (k, "a", "1", "GRCH38", p, p + 2, r, a, "deletion", rs)
+    obs = [cut("d1", 30_000, "rs7000000123"), cut("d2", 40_000), cut("d3", 40_006), cut("d4", 50_000), cut("d5", 50_010, "rs7000000555"), ("s1", "a", "1", "GRCH38", 60_000, 60_000, "A", "G", "snp", None)]
+    gone = lambda i, p, rs=None, ref="ACC", alt="A": _entry(i, ref, alt, p, rsid=rs, kind="deletion", span=2)
+    cat = [
+        gone("none", 30_004), gone("other", 30_004, "rs1234567899"), gone("back", 29_994), gone("ten", 30_010), gone("eleven", 30_011), gone("bases", 30_004, ref="AGT"), gone("strand", 30_004, ref="TGG", alt="T"), gone("length", 30_004, ref="I", alt="D"), gone("longer", 30_004, ref="ACCC"),
+        gone("nearest", 40_002), gone("farther", 40_010), gone("tie", 50_005), gone("named_tie", 50_005, "rs7000000555"), gone("named", 50_004, "rs7000000555"), gone("near", 50_003, "rs7000000555"), _entry("snp", "A", "G", 60_004),
+    ]
+    got = {(r["variant_key"], r["variant_id"]): r["confidence"] for r in matching.match(spark.createDataFrame(obs, OBS), spark.createDataFrame(cat, CAT)).collect()}
+    assert set(got) == {("d1", i) for i in ("none", "other", "back", "ten", "length", "strand")} | {("d2", "nearest"), ("d3", "farther"), ("d4", "tie"), ("d5", "tie"), ("d5", "named_tie"), ("d5", "named"), ("d4", "near")}
+    assert got["d1", "other"] < got["d1", "none"]
+
+
 def test_matching_of_nothing(spark):
     assert matching.match(spark.createDataFrame([], OBS), spark.createDataFrame([], CAT)).count() == 0
