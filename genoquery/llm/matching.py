@@ -273,7 +273,7 @@ def calibrate(pairs: DataFrame, bins: int = 20) -> list[float]:
 def match(observations: DataFrame, catalogue: DataFrame) -> DataFrame:
     """``variant_key, variant_id, confidence, score, shift`` of the pairs that mean one variant.
 
-    An entry goes to the key at its place with its change; a place one base off counts where no key is
+    An entry goes to the key at its place with its change, for each alternate it lists; a place one base off counts where no key is
     nearer (insertions and deletions: up to ten with the same bases on either strand, or the same length where a side has no
     bases). Names change the confidence and choose between keys more than three bases off; an entry without a place goes by
     its name. Repeated entries are pairs of their own; nulls never agree; empty tables give no rows.
@@ -287,7 +287,7 @@ def match(observations: DataFrame, catalogue: DataFrame) -> DataFrame:
     content = ["chrom", "pos", "type", "seq", "size", "r", "a", "names"]
     written = catalogue_variants(catalogue, table)
     written = durable(written.select("variant_id", *content, F.md5(F.to_json(F.struct(*content), {"ignoreNullFields": "false"})).alias("cid")))
-    members = written.select("cid", "variant_id").distinct()
+    members = written.select("cid", "variant_id", "a").distinct()
     entries = durable(written.select("cid", *content).dropDuplicates(["cid"]).withColumns(vec | {"change": change_vector(F.coalesce("type", F.lit("?")), canon)}))
     pairs = durable(score(keys, entries))
     table_ = calibrate(pairs)
@@ -305,7 +305,11 @@ def match(observations: DataFrame, catalogue: DataFrame) -> DataFrame:
     )
     # more than three bases off, a key whose name agrees goes before a nearer one
     near = F.when(far <= 3, -far).when(far > 3, F.when(agree, -4).otherwise(-5)).otherwise(-50)
-    held = pairs.where(ok).select("variant_key", "cid", F.col("d").alias("shift"), confidence.alias("confidence"), total.alias("score"), F.struct(near.alias("a"), F.coalesce(-far, F.lit(-50)).alias("f"), F.col("same").alias("b"), F.coalesce(F.col("named"), F.lit(False)).alias("c")).alias("rank"))
+    place = F.struct(near.alias("near"), F.coalesce(-far, F.lit(-50)).alias("far"))
+    rank = F.struct(F.col("same").alias("a"), F.coalesce(F.col("named"), F.lit(False)).alias("b"), near.alias("c"))
+    held = pairs.where(ok).select("variant_key", "cid", F.col("d").alias("shift"), confidence.alias("confidence"), total.alias("score"), place.alias("place"), rank.alias("rank"))
     held = salted_join(members, held, ["cid"], ["variant_id"])
-    best = held.withColumn("top", F.max("rank").over(Window.partitionBy("variant_id"))).where("rank = top")
+    # an entry has one place; each alternate it lists there has keys of its own
+    at = held.withColumn("at", F.max("place").over(Window.partitionBy("variant_id"))).where("place.far = at.far")
+    best = at.withColumn("top", F.max("rank").over(Window.partitionBy("variant_id", "a"))).where("rank = top")
     return best.groupBy("variant_key", "variant_id").agg(F.max("confidence").alias("confidence"), F.max("score").alias("score"), F.min_by("shift", F.abs("shift")).alias("shift"))

@@ -223,5 +223,13 @@ def test_shifted_indels_need_no_name(spark):
     assert got["d1", "other"] < got["d1", "none"]
 
 
+def test_each_listed_alternate_has_its_key(spark):
+    row = lambda k, p, r, a, rs: (k, "a", "1", "GRCH38", p, p, r, a, "snp", rs)
+    obs = [row("k1", 5000, "A", "G", "rs7000000111"), row("k2", 5000, "C", "A", "rs7000000222"), row("k3", 5000, "A", "C", "rs7000000333"), row("k4", 7000, "A", "G", None), row("k5", 7001, "A", "T", None)]
+    cat = [_entry("both", "A", "G|C", 5000, rsid="rs7000000111"), _entry("one", "A", "G", 5000), _entry("unseen", "A", "G|T", 7000)]
+    got = {(r["variant_key"], r["variant_id"]) for r in matching.match(spark.createDataFrame(obs, OBS), spark.createDataFrame(cat, CAT)).collect()}
+    assert got == {("k1", "both"), ("k3", "both"), ("k1", "one"), ("k4", "unseen")}
+
+
 def test_matching_of_nothing(spark):
     assert matching.match(spark.createDataFrame([], OBS), spark.createDataFrame([], CAT)).count() == 0
