@@ -1,7 +1,7 @@
 """Evaluation passages inside a corpus.
 
-One Aho-Corasick automaton holds every run of three words that only one test
-item has; a text is scanned once, without blanks, marks and case, so that layout
+One Aho-Corasick automaton holds every run of three words of the test items
+(stock sentences aside), with all items that have it; a text is scanned once, without blanks, marks and case, so that layout
 and lost spaces do not matter. Texts with hits are compared with the items they
 hit, word by word, and hits are mapped back to offsets of the original text.
 
@@ -72,25 +72,40 @@ def squeezed_with_offsets(text: str) -> tuple[str, list[int]]:
 
 
 class Items:
-    """The test items: their words by sentence, the runs that only one item has, and the rare words."""
+    """The test items: their words by sentence, the runs with the items that have them, and the rare words.
+
+    Items of equal words are one, under the first's id; ``same`` has the ids of all. A sentence that more than ``few`` items have
+    is stock and does not count, unless more than half of an item would go that way.
+    """
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.sentences: dict[int, list[list[str]]] = {}
-        texts: dict[int, list[str]] = {}
+        self.same: dict[int, list[int]] = defaultdict(list)
+        first: dict[tuple, int] = {}
         for item, text in rows:
             parts = [words_of(fold(s)) for s in re.split(r"(?<=[.?!])\s+", text or "")]
-            self.sentences[item] = [p for p in parts if p]
-            texts[item] = [w for p in self.sentences[item] for w in p]
-        self.words_in = Counter(w for ws in texts.values() for w in set(ws))
+            parts = [p for p in parts if p]
+            one = first.setdefault(tuple(map(tuple, parts)), item)
+            self.sentences[one] = parts
+            self.same[one].append(item)
+        self.words_in = Counter(w for ss in self.sentences.values() for w in {w for s in ss for w in s})
         stock = Counter(tuple(s) for ss in self.sentences.values() for s in {tuple(s) for s in ss})
-        few = max(2, len(texts) // 100)
+        few = max(2, len(rows) // 100)
         self.stock = {s for s, n in stock.items() if n > few}
         owners: dict[str, set[int]] = defaultdict(set)
         for item, ss in self.sentences.items():
+            own = [s for s in ss if tuple(s) not in self.stock]
+            self.sentences[item] = ss = own if sum(map(len, own)) * 2 >= sum(map(len, ss)) else ss
             for s in ss:
                 for k in range(max(1, len(s) - GRAM + 1)):
                     owners["".join(s[k : k + GRAM])].add(item)
-        self.patterns = {p: next(iter(o)) for p, o in owners.items() if len(o) == 1 and len(p) >= 6}
+        self.patterns = {p: sorted(o) for p, o in owners.items() if len(p) >= 6}
+        self.words = {item: {w for s in ss for w in s} for item, ss in self.sentences.items()}
+        self.short: dict[int, set[str]] = defaultdict(set)  # runs too short for a pattern
+        for p, o in owners.items():
+            if len(p) < 6:
+                for item in o:
+                    self.short[item].add(p)
         self.few = few
 
     def share(self, item: int, runs: set[str], seen: set[str]) -> float:
@@ -101,8 +116,6 @@ class Items:
         """
         total = got = 0
         for s in self.sentences[item]:
-            if tuple(s) in self.stock:
-                continue
             total += len(s)
             rare = [w for w in s if self.words_in[w] <= self.few or w.isdigit()]
             if rare and sum(w in seen for w in rare) * 2 < len(rare):
@@ -115,12 +128,12 @@ class Items:
         return got / total if total else 0.0
 
 
-def automaton(patterns: dict[str, int]):
+def automaton(patterns: dict[str, list[int]]):
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for p, item in patterns.items():
-        a.add_word(p, (item, p))
+    for p, owners in patterns.items():
+        a.add_word(p, (owners, p))
     a.make_automaton()
     return a
 
@@ -128,8 +141,9 @@ def automaton(patterns: dict[str, int]):
 def find(docs: DataFrame, items: list[tuple[int, str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, item_id, share, first_char, last_char`` of each text that reproduces enough of an item.
 
-    The offsets are of the original text, from 0, of the first and last matching run. Null and empty texts and items give
-    no row; copies of a text give the same rows under their own ids; other columns are not read.
+    The offsets are of the original text, from 0, of the first and last matching run, of those that the
+    item alone has where there are any. Null and empty texts and items give
+    no row; copies of a text, and of an item, give the same rows under their own ids; other columns are not read.
     """
     blocks: list[list[tuple[int, str]]] = [[]]
     size = 0
@@ -158,21 +172,25 @@ def find(docs: DataFrame, items: list[tuple[int, str]], id_col: str = "doc_id",
                         folded = fold(text)
                         squeezed = squeeze(folded)
                     hits: dict[int, set[str]] = defaultdict(set)
-                    for _, (item, p) in machine.iter(squeezed):
-                        hits[item].add(p)
+                    for p, owners in {p: owners for _, (owners, p) in machine.iter(squeezed)}.items():
+                        for item in owners:
+                            hits[item].add(p)
                     close = [i for i, ps in hits.items() if len(ps) >= 3]
-                    if not close:
-                        continue
-                    exact, at = squeezed_with_offsets(text)
+                    exact = None
                     for item in close:
                         # runs are looked up without blanks, so words that lost their blank still count
-                        runs = {r for s in k.sentences[item] for j in range(max(1, len(s) - GRAM + 1)) if (r := "".join(s[j : j + GRAM])) in squeezed}
-                        seen = {w for s in k.sentences[item] for w in s if w in squeezed}
+                        runs = hits[item] | {r for r in k.short[item] if r in squeezed}
+                        if k.share(item, runs, k.words[item]) < LEAK_SHARE:
+                            continue  # not even with all of its words
+                        seen = {w for w in k.words[item] if w in squeezed}
                         share = k.share(item, runs, seen)
                         if share >= LEAK_SHARE:
-                            places = [(exact.find(p), exact.rfind(p) + len(p) - 1) for p in hits[item] if p in exact]
+                            if exact is None:
+                                exact, at = squeezed_with_offsets(text)
+                            alone = [p for p in hits[item] if len(k.patterns[p]) == 1]
+                            places = [(exact.find(p), exact.rfind(p) + len(p) - 1) for p in alone or hits[item] if p in exact]
                             first, last = (at[min(a for a, _ in places)], at[max(b for _, b in places)]) if places else (0, len(text) - 1)
-                            out.append((doc, item, share, first, last))
+                            out.extend((doc, i, share, first, last) for i in k.same[item])
             yield pd.DataFrame(out, columns=[id_col, "item_id", "share", "first_char", "last_char"])
 
     return docs.select(id_col, text_col).mapInPandas(scan, f"{id_col} long, item_id long, share double, first_char long, last_char long")

@@ -126,6 +126,14 @@ def test_leaks(spark):
     assert leaks.find(df, []).count() == 0 and leaks.find(df.limit(0), ITEMS).count() == 0
 
 
+def test_equal_and_overlapping_items(spark):
+    one, two = ITEMS[0][1], "Vessel TQ-52 left Harrow at six with 917 pears and a ferret."
+    items = [*ITEMS, (11, one), (12, one.upper()), (13, "Mirror DW-98 in Sundrey dropped 73 packets at noon."), (21, two + " Ends at dawn."), (22, two + " Ends at noon."), (23, two + " Ends at dusk."), (24, two)]
+    docs = spark.createDataFrame([(1, "Intro here. " + one), (2, "Intro. " + two + " Outro."), (3, "Read the case and choose the one correct option.")], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in leaks.find(docs, items).collect()}
+    assert got == {(1, i) for i in (1, 11, 12, 13)} | {(2, i) for i in (21, 22, 23, 24)}
+
+
 def test_offsets_are_of_the_original_text():
     for t in ("Ab-c dÉ ﬁx <b>q</b> &amp; Z", "plain 12", "", "İstanbul <i>x"):
         s, at = leaks.squeezed_with_offsets(t)
