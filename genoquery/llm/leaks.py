@@ -6,7 +6,8 @@ and lost spaces do not matter. Texts with hits are compared with the items they
 hit, word by word, and hits are mapped back to offsets of the original text.
 
 The test set is given and small: its patterns are broadcast, and
-``MAX_ITEM_CHARS`` bounds them. A larger test set is scanned in blocks.
+``MAX_ITEM_CHARS`` bounds those of an automaton. More patterns make more
+automata; what the items share is worked out once over all of them.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from genoquery.session import ship
 
-MAX_ITEM_CHARS = 8_000_000  # of one automaton; more items make more automata
+MAX_ITEM_CHARS = 8_000_000  # of the patterns of one automaton; the results do not depend on it
 GRAM = 3
 LEAK_SHARE = 0.42
 # Letters of other scripts that look like Latin ones.
@@ -138,6 +139,19 @@ def automaton(patterns: dict[str, list[int]]):
     return a
 
 
+def blocks(patterns: dict[str, list[int]], limit: int) -> list[dict[str, list[int]]]:
+    """The patterns in parts of at most ``limit`` characters; a longer one is a part of its own."""
+    out: list[dict[str, list[int]]] = []
+    size = 0
+    for p, owners in patterns.items():
+        if not out or size + len(p) > limit:
+            out.append({})
+            size = 0
+        out[-1][p] = owners
+        size += len(p)
+    return out
+
+
 def find(docs: DataFrame, items: list[tuple[int, str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, item_id, share, first_char, last_char`` of each text that reproduces enough of an item.
 
@@ -145,52 +159,41 @@ def find(docs: DataFrame, items: list[tuple[int, str]], id_col: str = "doc_id",
     item alone has where there are any. Null and empty texts and items give
     no row; copies of a text, and of an item, give the same rows under their own ids; other columns are not read.
     """
-    blocks: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for row in items:
-        size += len(row[1] or "")
-        if size > MAX_ITEM_CHARS:
-            blocks.append([])
-            size = len(row[1] or "")
-        blocks[-1].append(row)
     ship(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(blocks)
+    shared = sc.broadcast(list(items))
+    limit = MAX_ITEM_CHARS
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = [Items(b) for b in shared.value if b]
-        machines = [automaton(k.patterns) for k in known if k.patterns]
-        known = [k for k in known if k.patterns]
+        k = Items(shared.value)
+        machines = [automaton(b) for b in blocks(k.patterns, limit)]
         for batch in batches:
             out = []
             for doc, text in zip(batch[id_col], batch[text_col]):
                 if not isinstance(text, str) or not text:
                     continue
-                folded = squeezed = None
-                for k, machine in zip(known, machines):
-                    if squeezed is None:
-                        folded = fold(text)
-                        squeezed = squeeze(folded)
-                    hits: dict[int, set[str]] = defaultdict(set)
+                squeezed = squeeze(fold(text))
+                hits: dict[int, set[str]] = defaultdict(set)
+                for machine in machines:
                     for p, owners in {p: owners for _, (owners, p) in machine.iter(squeezed)}.items():
                         for item in owners:
                             hits[item].add(p)
-                    close = [i for i, ps in hits.items() if len(ps) >= 3]
-                    exact = None
-                    for item in close:
-                        # runs are looked up without blanks, so words that lost their blank still count
-                        runs = hits[item] | {r for r in k.short[item] if r in squeezed}
-                        if k.share(item, runs, k.words[item]) < LEAK_SHARE:
-                            continue  # not even with all of its words
-                        seen = {w for w in k.words[item] if w in squeezed}
-                        share = k.share(item, runs, seen)
-                        if share >= LEAK_SHARE:
-                            if exact is None:
-                                exact, at = squeezed_with_offsets(text)
-                            alone = [p for p in hits[item] if len(k.patterns[p]) == 1]
-                            places = [(exact.find(p), exact.rfind(p) + len(p) - 1) for p in alone or hits[item] if p in exact]
-                            first, last = (at[min(a for a, _ in places)], at[max(b for _, b in places)]) if places else (0, len(text) - 1)
-                            out.extend((doc, i, share, first, last) for i in k.same[item])
+                close = [i for i, ps in hits.items() if len(ps) >= 3]
+                exact = None
+                for item in close:
+                    # runs are looked up without blanks, so words that lost their blank still count
+                    runs = hits[item] | {r for r in k.short[item] if r in squeezed}
+                    if k.share(item, runs, k.words[item]) < LEAK_SHARE:
+                        continue  # not even with all of its words
+                    seen = {w for w in k.words[item] if w in squeezed}
+                    share = k.share(item, runs, seen)
+                    if share >= LEAK_SHARE:
+                        if exact is None:
+                            exact, at = squeezed_with_offsets(text)
+                        alone = [p for p in hits[item] if len(k.patterns[p]) == 1]
+                        places = [(exact.find(p), exact.rfind(p) + len(p) - 1) for p in alone or hits[item] if p in exact]
+                        first, last = (at[min(a for a, _ in places)], at[max(b for _, b in places)]) if places else (0, len(text) - 1)
+                        out.extend((doc, i, share, first, last) for i in k.same[item])
             yield pd.DataFrame(out, columns=[id_col, "item_id", "share", "first_char", "last_char"])
 
     return docs.select(id_col, text_col).mapInPandas(scan, f"{id_col} long, item_id long, share double, first_char long, last_char long")

@@ -134,6 +134,14 @@ def test_equal_and_overlapping_items(spark):
     assert got == {(1, i) for i in (1, 11, 12, 13)} | {(2, i) for i in (21, 22, 23, 24)}
 
 
+def test_blocks_of_patterns_change_nothing(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(ITEMS)] + [(9, "Ledger QX-1177 credits Corvin with 503 loci on the olive arm. Read the case and choose the one correct option.")], "doc_id long, text string")
+    whole = sorted(map(tuple, leaks.find(docs, ITEMS).collect()))
+    monkeypatch.setattr(leaks, "MAX_ITEM_CHARS", 100)
+    assert len(leaks.blocks(leaks.Items(ITEMS).patterns, 100)) > 3
+    assert whole and sorted(map(tuple, leaks.find(docs, ITEMS).collect())) == whole
+
+
 def test_offsets_are_of_the_original_text():
     for t in ("Ab-c dÉ ﬁx <b>q</b> &amp; Z", "plain 12", "", "İstanbul <i>x"):
         s, at = leaks.squeezed_with_offsets(t)
