@@ -238,6 +238,40 @@ def call_20(spark, sf):
     return c.groupBy("record_id", found.alias("match_status"), covered.alias("coverage_status"), C("z.zygosity").alias("zygosity"), C("v.outcome").alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def in_full(o, known):
+    """Each observation as all columns of ``sinks.OBSERVATION``, worked out from its display, alleles and counts.
+
+    ``known`` has ``rsid`` and ``observed``, the other alternates seen there. Rows stay as delivered, repeats included; a count
+    below 0 is none; sexes are not inferred, so a display of two letters is diploid on X and Y too.
+    """
+    count = lambda c: F.when(C(c) >= 0, C(c))
+    text_ = lambda c: F.coalesce(C(c), F.lit(""))
+    o = o.withColumn("key", F.lower("rsid")).join(known.select(F.lower("rsid").alias("key"), "observed"), "key", "left").withColumn("observed", F.coalesce("observed", F.array().cast("array<string>")))
+    o = o.withColumns({"ref": F.upper(text_("reference")), "alt": F.upper(text_("alternate")), "chrom": F.regexp_replace(text_("chrom"), "^(?i)chr", ""), "kind": F.lower(F.coalesce("kind", F.lit("unknown"))), "backend": F.when(C("evidence_type") == "mpileup", "cram").otherwise("text")})
+    o = o.withColumns({c: count(c) for c in ("depth", "ref_count", "alt_count")})
+    o = o.withColumn("d", F.coalesce(G.deletion_display(C("kind"), C("backend"), C("ref"), C("alt_count"), C("depth")), text_("genotype_display")))
+    o = o.withColumn("alt", G.reportable_alt(C("d"), C("ref"), C("alt"), C("observed")))
+    o = o.withColumn("z", G.app_genotype(C("d"), C("ref"), C("alt"), C("kind"), C("chrom"), F.lit(False))).withColumn("s", G.non_reportable(C("d"), C("ref"), C("alt"), C("observed")))
+    o = o.withColumn("v", G.call_values(C("depth"), C("s"), C("z.genotype"), C("z.zygosity"), C("d"))).withColumn("weak", G.weak_indel(C("kind"), C("backend"), C("ref"), C("d")))
+    got = {
+        "assembly": F.upper("assembly"), "match_status": F.when((text_("rsid") != "") | (C("d") != ""), "found").otherwise("not_found"), "coverage_status": F.when(C("depth") == 0, "not_covered").otherwise("covered"),
+        "call_status": C("v.call_status"), "genotype": C("z.genotype"), "genotype_display": C("v.reported"), "zygosity": C("z.zygosity"), "allele_balance": G.allele_balance(C("alt_count"), C("depth")), "outcome": C("v.outcome"),
+        "evidence_type": F.when(C("backend") == "cram", "mpileup").otherwise("genotype_file"), "evidence_raw": text_("evidence_raw"), "match_quality": F.when(C("weak"), "weak"), "match_notes": F.when(C("weak"), WEAK), "facets": G.facets(C("s"), C("observed")),
+    }
+    return o.select("record_id", *[got.get(c, C(c)).alias(c) for c in sinks.OBSERVATION])
+
+
+WEAK = "consumer genotype file reported an insertion/deletion token at the marker, not sequence-resolved evidence for the exact deletion allele"
+
+
+# call_20 is the part of it that SQL checks
+@query("call_20_full")
+def call_20_full(spark, sf):
+    c = table(spark, sf, "variant_catalogue").where("rsid is not null and observed_alts is not null").select(F.lower("rsid").alias("rsid"), F.explode(F.split("observed_alts", r"\|")).alias("a"))
+    known = c.groupBy("rsid").agg(F.array_sort(F.collect_set(F.upper(F.trim("a")))).alias("observed"))
+    return in_full(table(spark, sf, "observations"), known)
+
+
 # --- checks
 
 _CH = "coalesce(regexp_full_match(grch38_chrom, '[1-9]|1[0-9]|2[0-2]|X|Y|MT'), true)"

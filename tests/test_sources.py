@@ -117,3 +117,26 @@ def test_empty_depths(spark):
     none = spark.createDataFrame([], "chrom string, pos long, depth long")
     r = reads.depth_summary(none, spark.createDataFrame([("1", 1, 4)], "chrom string, lo long, hi long"), ["chrom"]).first()
     assert (r["mean"], r["median"], r["uncovered_bases"], r["percent_uncovered"]) == (0.0, 0.0, 4, 100.0)
+
+
+def test_observations_in_full(spark):
+    from genoquery.plans.source_queries import in_full
+
+    row = lambda i, kind, ref, alt, shown, chrom="1", depth=None, alts=None, by="genotype_file", rsid="rs1": (i, "p", "a", "1.0", "k", rsid, "g", "grch38", chrom, 5, 5, ref, alt, kind, shown, None, alts, depth, None, by, None)
+    rows = [
+        row(1, "snp", "A", "G", "AG"), row(2, "snp", "A", "G", "G", "chrX"), row(3, "snp", "A", "G", "A", "X"), row(4, "deletion", "TT", "T", "ID"), row(5, "deletion", "TT", "T", "ID", depth=30, alts=0, by="mpileup"), row(6, "insertion", "T", "TT", "DD"),
+        row(7, "snp", "A", "G", "AT", rsid="RS7"), row(8, "snp", "A", "G", "GT", rsid="rs7"), row(9, "snp", "A", "G", "GC"), row(10, None, None, None, None, None, depth=-9, rsid=None), row(11, "snp", "A", "G", None, depth=0), row(1, "snp", "A", "G", "AG"), row(12, "snp", "A", "G", "GG", depth=40, alts=30, by="mpileup"),
+    ]
+    schema = "record_id long, participant_id string, assay_id string, assay_version string, variant_key string, rsid string, gene string, assembly string, chrom string, pos_start long, pos_end long, reference string, alternate string, kind string, genotype_display string, ref_count long, alt_count long, depth long, genotype_quality long, evidence_type string, evidence_raw string"
+    df = in_full(spark.createDataFrame(rows, schema), spark.createDataFrame([("rs7", ["T"])], "rsid string, observed array<string>"))
+    got = df.collect()
+    assert len(df.columns) == 31 and len(got) == len(rows)
+    said = {r["record_id"]: (r["genotype"], r["zygosity"], r["outcome"], r["call_status"], r["genotype_display"]) for r in got}
+    assert said == {
+        1: ("0/1", "het", "variant", "called", "AG"), 2: ("1", "hem_alt", "variant", "called", "G"), 3: ("0", "hem_ref", "reference", "called", "A"), 4: ("0/1", "het", "variant", "called", "ID"), 5: ("0/0", "hom_ref", "reference", "called", "II"), 6: ("0/0", "hom_ref", "reference", "called", "DD"),
+        7: ("0/1", "het", "variant", "called", "AT"), 8: ("GT", "unknown", "observed_alt", "observed_alt", "GT"), 9: ("GC", "unknown", "unknown_alt", "unknown_alt", "GC"), 10: ("./.", "unknown", "no_call", "no_call", "??"), 11: ("./.", "unknown", "not_covered", "no_call", "??"), 12: ("1/1", "hom_alt", "variant", "called", "GG"),
+    }
+    by = {r["record_id"]: r for r in got}
+    assert by[7]["alt"] == "T" and by[8]["facets"] == "observed_alt;known_observed_alts=T" and by[9]["facets"] == "unknown_alt" and by[2]["chrom"] == "X"
+    assert by[4]["match_quality"] == "weak" and by[4]["match_notes"] and by[5]["match_quality"] is None and by[12]["allele_balance"] == 0.75
+    assert (by[10]["match_status"], by[10]["coverage_status"], by[10]["kind"], by[10]["depth"]) == ("not_found", "covered", "unknown", None) and by[11]["coverage_status"] == "not_covered"
