@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from genoquery.operators.packed import masked, restore
-from genoquery.operators.skew import salted_join
+from genoquery.operators.packed import let, masked, restore
+from genoquery.operators.skew import bounded, measured_join
 from genoquery.session import durable
 
 # The base layouts of the two vendors.
@@ -29,24 +29,33 @@ NAMES = {
     "result": ["result", "genotype", "gt", "call", "calls", "alleles", "yourcode", "genotypes"],
 }
 QUOTED_FIELD = r'(?<=^|,)[ \t]*"[^"]*(?:""[^"]*)*"[ \t]*(?=,|$)'
+# a line of which every field is bare, or quoted without a quote or comma inside
+EASY_QUOTES = r'^ *(?:"[^",]*"|[^",]*+) *(?:, *(?:"[^",]*"|[^",]*+) *)*+$'
 MAX_POSITION = 250_000_000
+# The raw types of a value as written, by the letter that stands for them in a line's ``shape``.
+RAW_TYPES = {
+    "b": "blank", "i": "int", "l": "int", "a": "allele", "n": "name", "p": "pair", "c": "locus", "w": "whole_decimal", "d": "decimal", "r": "chr_word", "s": "slashed_pair", "x": "text", "t": "text",
+}
+FILE = ["vendor", "file_id"]
+LINE = [*FILE, "line_no"]
 
 
 def compared(name: Column) -> Column:
     """A column name as it is compared: lower case without blanks, ``_`` and ``-``."""
-    return F.regexp_replace(F.lower(name), r"[\s_\-]", "")
+    return F.translate(F.lower(name), " \t\n\r\f\v_-", "")
 
 
 def read_lines(sources: dict[str, DataFrame]) -> DataFrame:
     """The data lines of all sources: ``vendor``, ``file_id``, ``line_no``, ``text``.
 
-    Blank lines and comments are left out; BOM, carriage return and outer blanks are removed. A null line is blank.
+    Blank lines and comments are left out; BOM, carriage return and outer blanks are removed. A null line is blank, and lines
+    without a ``file_id`` or ``line_no`` belong to no file and are left out.
     """
-    parts = [df.select(F.lit(vendor).alias("vendor"), "file_id", "line_no", F.trim(F.regexp_replace("line", "^﻿|[\r\n]+$", "")).alias("text")) for vendor, df in sources.items()]
+    parts = [df.select(F.lit(vendor).alias("vendor"), "file_id", "line_no", F.trim(F.regexp_replace(F.rtrim("line", F.lit("\r\n")), "^﻿", "")).alias("text")) for vendor, df in sources.items()]
     lines = parts[0]
     for part in parts[1:]:
         lines = lines.unionByName(part)
-    return lines.where((F.col("text") != "") & ~F.col("text").startswith("#") & ~F.col("text").startswith("//"))
+    return lines.where((F.col("text") != "") & ~F.col("text").startswith("#") & ~F.col("text").startswith("//")).dropna(subset=["file_id", "line_no"])
 
 
 def fields_of(text: Column) -> Column:
@@ -58,75 +67,110 @@ def fields_of(text: Column) -> Column:
         return F.when(quoted, F.trim(F.replace(F.substring(v, F.lit(2), F.length(v) - 2), F.lit('""'), F.lit('"')))).otherwise(v)
 
     both = lambda broken, fields: F.struct(broken.alias("broken"), fields.alias("fields"))
-    plain = both(F.lit(False), F.transform(F.split(text, ",", -1), lambda p: F.trim(p)))
-    quoted = masked(text, QUOTED_FIELD, lambda m, spans: both(F.instr(m, '"') > 0, F.transform(F.split(m, ",", -1), lambda p: open_field(p, spans))))
-    return F.when(F.instr(text, '"') == 0, plain).otherwise(quoted)
+    split = lambda t: F.when(F.instr(t, " ") == 0, F.split(t, ",", -1)).otherwise(F.split(F.trim(t), " *, *", -1))
+    easy = both(F.lit(False), split(F.translate(text, '"', "")))
+    hard = masked(text, QUOTED_FIELD, lambda m, spans: both(F.instr(m, '"') > 0, F.transform(F.split(m, ",", -1), lambda p: open_field(p, spans))))
+    return F.when(F.instr(text, '"') == 0, both(F.lit(False), split(text))).when(text.rlike(EASY_QUOTES), easy).otherwise(hard)
 
 
 def known_field(name: Column) -> Column:
     """The base field for a compared name, or null."""
-    pairs = [F.lit(x) for field, names in NAMES.items() for n in names for x in (n, field)]
-    return F.try_element_at(F.create_map(*pairs), name)
+    pairs = ",".join(f"{n}:{field}" for field, names in NAMES.items() for n in names)
+    return F.try_element_at(F.str_to_map(F.lit(pairs)), name)
 
 
 def raw_type(v: Column) -> Column:
-    """The raw type of a value as written."""
+    """The letter of a value's raw type in ``RAW_TYPES``; ``l`` is a number of three digits or more, ``x`` the name of a sex chromosome or MT."""
     return (
-        F.when(v == "", "blank").when(v.rlike(r"^-?\d+$"), "int").when(v.rlike("^[ACGTID0-]$"), "allele").when(v.rlike(r"^(?i:rs|i)\d+$"), "name").when(v.rlike("^(?:[ACGTID]{2}|--)$"), "pair")
-        .when(v.rlike(r"^(?i:chr)?(?:\d{1,2}|[XYM]|MT):\d+$"), "locus").when(v.rlike(r"^\d+\.0+$"), "whole_decimal").when(v.rlike(r"^-?\d+\.\d+$"), "decimal")
-        .when(v.rlike("^(?i:chr|chrom|chromosome)[ _]?(?:[0-9]{1,2}|X|Y|M|MT)$"), "chr_word").when(v.rlike("^[ACGTID][/|][ACGTID]$"), "slashed_pair").otherwise("text")
+        F.when(v == "", "b").when(v.rlike(r"^\d{3,}$"), "l").when(v.rlike(r"^-?\d+$"), "i").when(v.rlike("^[ACGTID0-]$"), "a").when(v.rlike(r"^(?i:rs|i)\d+$"), "n").when(v.rlike("^(?:[ACGTID]{2}|--)$"), "p")
+        .when(v.rlike("^(?:X|Y|XY|MT?)$"), "x").when(v.rlike(r"^(?i:chr)?(?:\d{1,2}|[XYM]|MT):\d+$"), "c").when(v.rlike(r"^\d+\.0+$"), "w").when(v.rlike(r"^-?\d+\.\d+$"), "d")
+        .when(v.rlike("^(?i:chr|chrom|chromosome)[ _]?(?:[0-9]{1,2}|X|Y|M|MT)$"), "r").when(v.rlike("^[ACGTID][/|][ACGTID]$"), "s").otherwise("t")
     )
 
 
-def data_lines(split: DataFrame, files: DataFrame) -> DataFrame:
-    """The lines with their file's columns, without the header and its repeats."""
-    rows = salted_join(split, files, ["file_id"], ["line_no"])
+def data_lines(parsed: DataFrame, files: DataFrame, may_broadcast: bool | None = None) -> DataFrame:
+    """The parsed lines with their file's columns, without the header and its repeats."""
+    rows = measured_join(parsed, files, FILE, ["line_no"], may_broadcast=may_broadcast)
     # only a line whose first field is the header's is compared in full
-    repeat = (compared(F.get("fields", F.lit(0))) == F.get("names", F.lit(0))) & (F.transform("fields", compared) == F.col("names"))
-    return rows.where((F.col("line_no") != F.col("header_line")) & ~repeat).drop("header_line")
+    repeat = (compared(F.get("fields", F.lit(0))) == F.get("head", F.lit(0))) & (F.transform("fields", compared) == F.col("head"))
+    return rows.where((F.col("line_no") != F.col("header_line")) & ~repeat).drop("header_line", "head")
+
+
+def at_role(role: str) -> Column:
+    """The place of a role among a file's columns, from 1, or null."""
+    return F.expr(f"nullif(cast(array_position(roles, '{role}') as int), 0)")
 
 
 def parse(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Parsed data lines, and one row per file with its layout and notation.
 
-    Lines: ``vendor, file_id, line_no, text, broken, fields, names, roles, position_as, coded``; the header and its
-    repeats are left out. Files: ``vendor, file_id, names, roles, profile`` and the notation columns.
+    Lines: ``vendor, file_id, line_no, broken, fields, shape, roles, position_as, coded``; the header and its repeats are left
+    out. Files: ``vendor, file_id, names, roles, types`` and the notation columns. Each line is parsed once: its values
+    and their raw types (``shape``, a letter each) are written. All lines of a file have the same paths, so these are
+    kept once per file, and the path-type statistics count whole shapes before they are divided into paths.
+    Of two lines with the same number the first header is the lesser. An empty table gives no rows.
     """
-    split = lines.select("vendor", "file_id", "line_no", "text", fields_of(F.col("text")).alias("p")).select("vendor", "file_id", "line_no", "text", "p.broken", "p.fields")
-    first = lines.groupBy("vendor", "file_id").agg(F.min_by("text", "line_no").alias("header"), F.min("line_no").alias("header_line"))
-    names = first.select("vendor", "file_id", "header_line", F.transform(fields_of(F.col("header"))["fields"], compared).alias("head"))
+    split = lines.select(*LINE, fields_of(F.col("text")).alias("p")).select(*LINE, "p.broken", "p.fields")
+    parsed = durable(split.withColumn("shape", F.array_join(F.transform("fields", raw_type), "")))
+    first = durable(parsed.groupBy(*FILE).agg(F.min("line_no").alias("line_no")))
+    few = bounded(first)
+    heads = measured_join(parsed.select(*LINE, "fields"), first, LINE, ["line_no"], may_broadcast=few)
+    heads = heads.groupBy(*LINE).agg(F.min(F.transform("fields", compared)).alias("head"))
     base = F.when(F.col("vendor") == "ancestrydna_csv", F.array(*map(F.lit, BASE["ancestrydna_csv"]))).otherwise(F.array(*map(F.lit, BASE["familytreedna"])))
     # a file whose first line names no field has no header and is read by the base layout
     headed = F.exists("head", lambda n: known_field(n).isNotNull())
-    files = names.select(
-        "vendor", "file_id", F.when(headed, F.col("header_line")).otherwise(F.lit(0)).alias("header_line"),
-        F.when(headed, F.transform("head", lambda n, i: F.when(F.array_position("head", n) == i + 1, n).otherwise(F.concat(n, F.lit("#"), i.cast("string"))))).otherwise(base).alias("names"),
-    )
-    sound = data_lines(split, files.drop("vendor"))
-    sound = sound.where(~F.col("broken") & (F.size("fields") == F.size("names")))
-    # path-value maps, then path-type statistics by file
-    cells = sound.select("file_id", F.explode(F.map_from_arrays("names", "fields")).alias("path", "value"))
-    types = cells.groupBy("file_id", "path", raw_type(F.col("value")).alias("type")).agg(F.count(F.lit(1)).alias("n"))
-    usual = types.where(F.col("type") != "blank").groupBy("file_id", "path").agg(F.max_by("type", F.struct("n", "type")).alias("type"), F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("type", "n"))).alias("types"))
-    profiles = usual.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("path", F.struct("type", "n", "types").alias("s")))).alias("profile"))
-    files = files.join(profiles, "file_id", "left").withColumn("profile", F.coalesce("profile", F.create_map().cast("map<string,struct<type:string,n:bigint,types:map<string,bigint>>>")))
-    kind = lambda n: F.try_element_at(F.col("profile"), n)["type"]
-    plain = F.transform("names", known_field)
-
-    def guess(n: Column) -> Column:
-        named = known_field(n)
-        by_value = F.when((kind(n) == "name") & ~F.array_contains(plain, "rsid"), "rsid").when(kind(n).isin("pair", "slashed_pair") & ~F.arrays_overlap(plain, F.array(F.lit("result"), F.lit("allele1"))), "result")
-        return F.coalesce(named, by_value, F.lit(""))
-
-    files = files.withColumn("roles", F.transform("names", guess))
-    where = lambda r: F.expr(f"nullif(cast(array_position(roles, '{r}') as int), 0)")
-    files = files.withColumn("types", F.map_from_arrays(F.array(*map(F.lit, NAMES)), F.array(*[kind(F.try_element_at(F.col("names"), where(r))) for r in NAMES])))
+    unlike = F.transform("head", lambda n, i: F.when(F.array_position("head", n) == i + 1, n).otherwise(F.concat(n, F.lit("#"), i.cast("string"))))
+    layout = durable(heads.select(*FILE, F.when(headed, F.col("line_no")).otherwise(F.lit(0)).alias("header_line"), F.when(headed, F.col("head")).otherwise(F.array().cast("array<string>")).alias("head"), F.when(headed, unlike).otherwise(base).alias("names")))
+    few = bounded(layout)
+    sound = data_lines(parsed.where("not broken"), layout.withColumn("width", F.size("names")), may_broadcast=few).where(F.size("fields") == F.col("width"))
+    shapes = sound.groupBy(*FILE, "shape").agg(F.count(F.lit(1)).alias("n"))
+    paths = shapes.select(*FILE, "n", F.posexplode(F.split("shape", "(?!^)")).alias("i", "letter"))
+    kinds = F.str_to_map(F.lit(",".join(f"{a}:{b}" for a, b in RAW_TYPES.items())))
+    share = lambda letters: F.sum(F.when(F.col("letter").isin(*letters), F.col("n")).otherwise(0))
+    types = paths.where("letter <> 'b'").withColumn("type", kinds[F.col("letter")]).groupBy(*FILE, "i", "type").agg(F.sum("n").alias("n"), share("l").alias("long"), share("x").alias("sex"))
+    usual = types.groupBy(*FILE, "i").agg(F.max_by("type", F.struct("n", "type")).alias("type"), F.sum("n").alias("n"), F.sum("long").alias("long"), F.sum("sex").alias("sex"))
+    profiles = usual.groupBy(*FILE).agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("type", "n", "long", "sex").alias("s")))).alias("profile"))
+    files = layout.join(profiles, FILE, "left").withColumn("profile", F.transform("names", lambda n, i: F.try_element_at("profile", i)))
+    files = durable(files.withColumn("roles", roles_of()))
+    files = files.withColumn("types", F.map_from_arrays(F.array(*map(F.lit, NAMES)), F.array(*[F.try_element_at("profile", at_role(r))["type"] for r in NAMES])))
     type_of = lambda r: F.col("types")[r]
-    files = durable(files.withColumns({
+    files = durable(files.drop("profile").withColumns({
         "position_as": F.when(type_of("position").isin("locus", "whole_decimal"), type_of("position")).otherwise("int"),
         "coded": F.coalesce((type_of("allele1") == "int") | (type_of("result") == "int"), F.lit(False)),
-    }))  # one row per file
-    return data_lines(split, files.select("file_id", "header_line", "names", "roles", "position_as", "coded")), files
+    }))
+    return data_lines(parsed, files.select(*FILE, "header_line", "head", "roles", "position_as", "coded")), files
+
+
+def roles_of() -> Column:
+    """The base field of each column of a file: by its name, else by the types of its values where no column is named so.
+
+    A column of an unlisted name is a result if its values are pairs, an allele if they are single alleles (the first such column is
+    allele1, the second allele2), a position if most are numbers of three digits or more or loci, a chromosome if they are chromosome words
+    or numbers among which are sex chromosomes, and an rsid if they are names. Of several such columns the first counts.
+    """
+    named = F.transform("names", lambda n: F.coalesce(known_field(n), F.lit("")))
+    # (role, the roles that must not be named, test of a column's profile)
+    tests = [
+        ("rsid", ["rsid"], lambda s: s["type"] == "name"), ("result", ["result", "allele1"], lambda s: s["type"].isin("pair", "slashed_pair")),
+        ("position", ["position"], lambda s: (s["type"] == "locus") | ((s["type"] == "int") & (s["long"] * 2 > s["n"]))),
+        ("chromosome", ["chromosome"], lambda s: (s["type"] == "chr_word") | (s["type"].isin("int", "text") & (s["sex"] > 0) & (s["long"] == 0))),
+        ("allele1", ["allele1", "result"], lambda s: s["type"] == "allele"), ("allele2", ["allele2", "result"], lambda s: s["type"] == "allele"),
+    ]
+
+    def assign(each: tuple, roles: Column) -> Column:
+        role, absent, test = each
+        free = F.zip_with(roles, F.col("profile"), lambda r, s: (r == "") & F.coalesce(test(s), F.lit(False)))
+        first = let(free, lambda f: F.array_position(f, True))
+        found = let(first, lambda at: F.transform(roles, lambda r, i: F.when(at == i + 1, F.lit(role)).otherwise(r)))
+        return F.when(F.arrays_overlap(roles, F.array(*map(F.lit, absent))), roles).otherwise(found)
+
+    def step(each: tuple):
+        return lambda roles: assign(each, roles)
+
+    out = named
+    for each in tests:
+        out = let(out, step(each))
+    return out
 
 
 def changes(files: DataFrame) -> DataFrame:
@@ -153,7 +197,7 @@ def changes(files: DataFrame) -> DataFrame:
 
 def cell(role: str) -> Column:
     """The value of a role in a parsed row, or null where the file has no such column."""
-    return F.try_element_at(F.col("fields"), F.expr(f"nullif(cast(array_position(roles, '{role}') as int), 0)"))
+    return F.try_element_at("fields", at_role(role))
 
 
 def to_position(value: Column, written: Column) -> Column:
@@ -176,40 +220,50 @@ def bad_value(kind: Column, written: Column, value: Column) -> Column:
     return ~ok
 
 
+def structural() -> Column:
+    """The failure of a line as a whole, or null."""
+    return F.when(F.col("broken"), "quoting").when(F.length("shape") != F.size("roles"), "column_count")
+
+
 def failures(rows: DataFrame) -> DataFrame:
     """``file_id, line_no, reason`` of each parsed line that fails; the first reason of quoting, column_count, position, allele.
 
-    Each distinct value of a column kind and notation is cast once; the invalid ones form a dictionary that is joined back.
+    Each distinct value of a column kind and notation is cast once; the invalid ones form a dictionary that is joined back to
+    the lines, which are read a second time from where they were written.
     """
-    structural = rows.where(F.col("broken") | (F.size("fields") != F.size("names"))).select("file_id", "line_no", F.when(F.col("broken"), "quoting").otherwise("column_count").alias("reason"))
-    sound = rows.where(~F.col("broken") & (F.size("fields") == F.size("names")))
     code = F.when(F.col("coded"), "coded").otherwise("letters")
     one = lambda kind, written, role: F.struct(F.lit(kind).alias("kind"), written.alias("written"), cell(role).alias("value"))
-    cells = sound.select("file_id", "line_no", F.explode(F.array(one("position", F.col("position_as"), "position"), one("allele", code, "allele1"), one("allele", code, "allele2"), one("genotype", code, "result"))).alias("c")).select("file_id", "line_no", "c.*").where(F.col("value").isNotNull())
+    whole = F.array(F.struct(structural().alias("kind"), F.lit("").alias("written"), F.lit("").alias("value")))
+    each = F.filter(F.array(one("position", F.col("position_as"), "position"), one("allele", code, "allele1"), one("allele", code, "allele2"), one("genotype", code, "result")), lambda c: c["value"].isNotNull())
+    cells = rows.select("file_id", "line_no", F.explode(F.when(structural().isNotNull(), whole).otherwise(each)).alias("c")).select("file_id", "line_no", "c.*")
     keys = ["kind", "written", "value"]
-    invalid = cells.select(*keys).distinct().where(bad_value(F.col("kind"), F.col("written"), F.col("value"))).withColumn("reason", F.when(F.col("kind") == "position", "position").otherwise("allele"))
-    hits = salted_join(cells, invalid, keys, ["file_id", "line_no"])
-    # "position" sorts after "allele" and comes first, so the larger reason is the first that applies
-    return structural.unionByName(hits.groupBy("file_id", "line_no").agg(F.max("reason").alias("reason")))
+    whole_line = F.col("kind").isin("quoting", "column_count")
+    distinct = cells.where(~whole_line).select(*keys).distinct()
+    invalid = durable(distinct.where(bad_value(F.col("kind"), F.col("written"), F.col("value"))).withColumn("reason", F.when(F.col("kind") == "position", "position").otherwise("allele")))
+    hits = measured_join(cells, invalid, keys, ["file_id", "line_no"], how="left").withColumn("reason", F.when(whole_line, F.col("kind")).otherwise(F.col("reason"))).where("reason is not null")
+    # in this order of the letters the larger reason is the first that applies
+    return hits.groupBy("file_id", "line_no").agg(F.max("reason").alias("reason"))
 
 
 def consistent(rows: DataFrame) -> DataFrame:
-    """The valid and typed content of every sound line in one layout, with the fields whose cast failed in ``failed_casts``.
+    """The typed content of every data line in one layout, with what failed in ``failures``: the fields whose cast did, or the line as a whole.
 
-    Coded alleles stay as written: the files give no key to the codes. A pair of alleles and a genotype are given in both forms.
+    A line whose quoting or field count is broken keeps its place and has no values. Coded alleles stay as written: the files
+    give no key to the codes. A pair of alleles and a genotype are given in both forms.
     """
-    sound = rows.where(~F.col("broken") & (F.size("fields") == F.size("names")))
+    whole = structural()
+    sound = rows.withColumn("whole", whole).withColumn("fields", F.when(F.col("whole").isNull(), F.col("fields")))
     pos, a1, a2, res, rs = (cell(x) for x in ("position", "allele1", "allele2", "result", "rsid"))
     typed = to_position(pos, F.col("position_as"))
     typed = F.when(typed.between(1, MAX_POSITION), typed)
     chrom = F.coalesce(cell("chromosome"), F.when(F.col("position_as") == "locus", F.substring_index(pos, ":", 1)))
     code = F.when(F.col("coded"), "coded").otherwise("letters")
     failed = F.filter(F.array(
-        F.when(pos.isNotNull() & typed.isNull(), "position"), F.when(bad_value(F.lit("allele"), code, a1), "allele1"),
+        F.col("whole"), F.when(pos.isNotNull() & typed.isNull(), "position"), F.when(bad_value(F.lit("allele"), code, a1), "allele1"),
         F.when(bad_value(F.lit("allele"), code, a2), "allele2"), F.when(bad_value(F.lit("genotype"), code, res), "result"),
     ), lambda x: x.isNotNull())
     return sound.select(
         "vendor", "file_id", "line_no", F.when(rs.rlike(r"^\d+$"), F.concat(F.lit("rs"), rs)).otherwise(rs).alias("rsid"), F.regexp_replace(chrom, "^(?i:chr)", "").alias("chromosome"), typed.alias("position"),
         F.coalesce(a1, F.when(~F.col("coded"), F.substring(res, 1, 1))).alias("allele1"), F.coalesce(a2, F.when(~F.col("coded"), F.substring(res, -1, 1))).alias("allele2"),
-        F.coalesce(res, F.when(~F.col("coded"), F.concat(a1, a2))).alias("result"), F.col("coded").alias("alleles_coded"), failed.alias("failed_casts"),
+        F.coalesce(res, F.when(~F.col("coded"), F.concat(a1, a2))).alias("result"), F.col("coded").alias("alleles_coded"), failed.alias("failures"),
     )

@@ -1,6 +1,6 @@
 """Work on keys of which a few hold most rows.
 
-``salted_join`` spreads a hot key over several tasks. ``number_rows`` and
+``salted_join`` spreads a hot key over as many tasks as its measured rows ask for. ``number_rows`` and
 ``chunked`` implement exact offset chunking: count keys per input block, turn
 the counts into offsets by a prefix sum, number the rows of every key, process
 chunks of equal size and merge their ordered boundary states.
@@ -13,20 +13,45 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from genoquery.session import durable
+
 BLOCK = "__block"
 AT = "__at"
+BROADCAST_BYTES = 32 << 20
+CHUNK_ROWS = 2_000_000
+
+
+def bounded(small: DataFrame) -> bool:
+    """Whether a table that is cheap to read (a written one) has at most ``BROADCAST_BYTES``, as measured by its rows written out."""
+    size = small.agg(F.sum(F.length(F.to_json(F.struct("*"))).cast("long") + 16).alias("b")).first()["b"]
+    return (size or 0) <= BROADCAST_BYTES
+
+
+def measured_join(big: DataFrame, small: DataFrame, keys: Sequence[str], spread: Sequence[str], how: str = "inner", may_broadcast: bool | None = None) -> DataFrame:
+    """Joins ``big`` to ``small``, which is sent to every task if its measured size allows, and else joined by ``salted_join``.
+
+    ``small`` is a written table or as cheap to read; ``may_broadcast`` has the answer of ``bounded`` where it is known.
+    """
+    if bounded(small) if may_broadcast is None else may_broadcast:
+        return big.join(F.broadcast(small), list(keys), how)
+    return salted_join(big, small, keys, spread, how)
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], spread: Sequence[str], salts: int = 8, how: str = "inner") -> DataFrame:
-    """Joins ``big`` to ``small`` so that one key's rows of ``big`` go to ``salts`` tasks.
+def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], spread: Sequence[str], how: str = "inner", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Joins ``big`` to ``small`` so that no task gets much more than ``chunk_rows`` rows of one key.
 
-    ``small`` holds few rows per key and is repeated ``salts`` times; ``spread``
-    names columns of ``big`` that differ within a key. ``how`` is inner, left,
-    left_semi or left_anti. Null keys match nothing, as in a plain join.
+    The rows of each key of ``big`` are counted first. Only keys above ``chunk_rows`` are salted, by as many salts as they
+    have chunks; they are at most a ``chunk_rows``-th of all rows and are sent to every task. ``spread`` names columns of ``big``
+    that differ within a key. ``how`` is inner, left, left_semi or left_anti. Null keys match nothing, as in a plain join.
     """
-    salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
-    left = big.withColumn("__salt", salt)
-    right = small.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    keys = list(keys)
+    hot = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > chunk_rows).dropna(subset=keys)
+    hot = durable(hot.select(*keys, F.ceil(F.col("__rows") / chunk_rows).cast("int").alias("__salts")))
+    if hot.isEmpty():
+        return big.join(small, keys, how)
+    salts = F.coalesce("__salts", F.lit(1))
+    left = big.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.pmod(F.xxhash64(*spread), salts).cast("int")).drop("__salts")
+    right = small.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
     return left.join(right, [*keys, "__salt"], how).drop("__salt")
 
 

@@ -86,7 +86,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The data lines that load, typed."""
-    return rawlines.consistent(_raw(spark, sf_dir)[0]).where(F.size("failed_casts") == 0).drop("failed_casts")
+    return rawlines.consistent(_raw(spark, sf_dir)[0]).where(F.size("failures") == 0).drop("failures")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +95,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All files in one layout, with the fields whose cast failed."""
+    """All data lines of all files in one layout, with the fields whose cast failed, or what is wrong with the line."""
     return rawlines.consistent(_raw(spark, sf_dir)[0])
 
 
