@@ -104,8 +104,8 @@ def at_role(role: str) -> Column:
 def parse(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Parsed data lines, and one row per file with its layout and notation.
 
-    Lines: ``vendor, file_id, line_no, broken, fields, shape, roles, position_as, coded``; the header and its repeats are left
-    out. Files: ``vendor, file_id, names, roles, types`` and the notation columns. Each line is parsed once: its values
+    Lines: ``vendor, file_id, line_no, broken, fields, shape, width, at_*, position_as, coded`` (``at_*`` are the places of the base
+    fields, from 1); the header and its repeats are left out. Files: ``vendor, file_id, names, roles, types`` and the notation columns. Each line is parsed once: its values
     and their raw types (``shape``, a letter each) are written. All lines of a file have the same paths, so these are
     kept once per file, and the path-type statistics count whole shapes before they are divided into paths.
     Of two lines with the same number the first header is the lesser. An empty table gives no rows.
@@ -138,7 +138,7 @@ def parse(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         "position_as": F.when(type_of("position").isin("locus", "whole_decimal"), type_of("position")).otherwise("int"),
         "coded": F.coalesce((type_of("allele1") == "int") | (type_of("result") == "int"), F.lit(False)),
     }))
-    return data_lines(parsed, files.select(*FILE, "header_line", "head", "roles", "position_as", "coded")), files
+    return data_lines(parsed, files.select(*FILE, "header_line", "head", F.size("names").alias("width"), *[at_role(r).alias(f"at_{r}") for r in NAMES], "position_as", "coded")), files
 
 
 def roles_of() -> Column:
@@ -197,7 +197,7 @@ def changes(files: DataFrame) -> DataFrame:
 
 def cell(role: str) -> Column:
     """The value of a role in a parsed row, or null where the file has no such column."""
-    return F.try_element_at("fields", at_role(role))
+    return F.try_element_at("fields", F.col(f"at_{role}"))
 
 
 def to_position(value: Column, written: Column) -> Column:
@@ -222,7 +222,7 @@ def bad_value(kind: Column, written: Column, value: Column) -> Column:
 
 def structural() -> Column:
     """The failure of a line as a whole, or null."""
-    return F.when(F.col("broken"), "quoting").when(F.length("shape") != F.size("roles"), "column_count")
+    return F.when(F.col("broken"), "quoting").when(F.length("shape") != F.col("width"), "column_count")
 
 
 def failures(rows: DataFrame) -> DataFrame:
@@ -234,19 +234,20 @@ def failures(rows: DataFrame) -> DataFrame:
     code = F.when(F.col("coded"), "coded").otherwise("letters")
     one = lambda kind, written, role: F.struct(F.lit(kind).alias("kind"), written.alias("written"), cell(role).alias("value"))
     whole = F.array(F.struct(structural().alias("kind"), F.lit("").alias("written"), F.lit("").alias("value")))
-    each = F.filter(F.array(one("position", F.col("position_as"), "position"), one("allele", code, "allele1"), one("allele", code, "allele2"), one("genotype", code, "result")), lambda c: c["value"].isNotNull())
-    cells = rows.select("file_id", "line_no", F.explode(F.when(structural().isNotNull(), whole).otherwise(each)).alias("c")).select("file_id", "line_no", "c.*")
+    each = F.array(one("position", F.col("position_as"), "position"), one("allele", code, "allele1"), one("allele", code, "allele2"), one("genotype", code, "result"))
+    cells = rows.select("file_id", "line_no", F.explode(F.when(structural().isNotNull(), whole).otherwise(each)).alias("c")).select("file_id", "line_no", "c.*").where("value is not null")
     keys = ["kind", "written", "value"]
-    whole_line = F.col("kind").isin("quoting", "column_count")
-    distinct = cells.where(~whole_line).select(*keys).distinct()
-    invalid = durable(distinct.where(bad_value(F.col("kind"), F.col("written"), F.col("value"))).withColumn("reason", F.when(F.col("kind") == "position", "position").otherwise("allele")))
-    hits = measured_join(cells, invalid, keys, ["file_id", "line_no"], how="left").withColumn("reason", F.when(whole_line, F.col("kind")).otherwise(F.col("reason"))).where("reason is not null")
-    # in this order of the letters the larger reason is the first that applies
-    return hits.groupBy("file_id", "line_no").agg(F.max("reason").alias("reason"))
+    # a line's first reason is the one with the largest number
+    number = F.when(F.col("kind") == "quoting", 4).when(F.col("kind") == "column_count", 3).when(F.col("kind") == "position", 2).otherwise(1)
+    distinct = cells.where(~F.col("kind").isin("quoting", "column_count")).select(*keys).distinct()
+    invalid = durable(distinct.where(bad_value(F.col("kind"), F.col("written"), F.col("value"))).withColumn("known", F.lit(True)))
+    hits = measured_join(cells, invalid, keys, ["file_id", "line_no"], how="left").withColumn("reason", number).where("known or reason >= 3")
+    names = F.element_at(F.array(*map(F.lit, ("allele", "position", "column_count", "quoting"))), F.max("reason"))
+    return hits.groupBy("file_id", "line_no").agg(names.alias("reason"))
 
 
 def consistent(rows: DataFrame) -> DataFrame:
-    """The typed content of every data line in one layout, with what failed in ``failures``: the fields whose cast did, or the line as a whole.
+    """The typed content of every data line in one layout, with what failed in ``failed_casts``: the fields whose cast did, or the line as a whole.
 
     A line whose quoting or field count is broken keeps its place and has no values. Coded alleles stay as written: the files
     give no key to the codes. A pair of alleles and a genotype are given in both forms.
@@ -265,5 +266,5 @@ def consistent(rows: DataFrame) -> DataFrame:
     return sound.select(
         "vendor", "file_id", "line_no", F.when(rs.rlike(r"^\d+$"), F.concat(F.lit("rs"), rs)).otherwise(rs).alias("rsid"), F.regexp_replace(chrom, "^(?i:chr)", "").alias("chromosome"), typed.alias("position"),
         F.coalesce(a1, F.when(~F.col("coded"), F.substring(res, 1, 1))).alias("allele1"), F.coalesce(a2, F.when(~F.col("coded"), F.substring(res, -1, 1))).alias("allele2"),
-        F.coalesce(res, F.when(~F.col("coded"), F.concat(a1, a2))).alias("result"), F.col("coded").alias("alleles_coded"), failed.alias("failures"),
+        F.coalesce(res, F.when(~F.col("coded"), F.concat(a1, a2))).alias("result"), F.col("coded").alias("alleles_coded"), failed.alias("failed_casts"),
     )

@@ -133,6 +133,25 @@ def test_one_table(spark):
     assert got[1, 5]["failed_casts"] == ["position"] and got[3, 3]["failed_casts"] == ["allele2"] and got[1, 13]["failed_casts"] == []
 
 
+def test_columns_of_unlisted_names(spark):
+    lines = {1: ["rsid,wo,platz,x1,x2", "rs1,1,5000,A,G", "rs2,X,6000,A,A", "rs3,2,70x,T,Q", '"rs4","2,7000,T,T'], 2: ["Rsid;", "rs1,1,5000,A,G"]}
+    df = spark.createDataFrame([(f, i, t) for f, ts in lines.items() for i, t in enumerate(ts, 1)], "file_id long, line_no int, line string")
+    rows, files = rawlines.parse(rawlines.read_lines({"ancestrydna_csv": df}))
+    assert {tuple(r) for r in rawlines.changes(files).where("file_id = 1").collect()} == {(1, f, "renamed") for f in ("chromosome", "position", "allele1", "allele2")}
+    assert {tuple(r) for r in rawlines.failures(rows).collect()} == {(1, 4, "position"), (1, 5, "quoting"), (2, 1, "column_count")}
+    got = {(r["file_id"], r["line_no"]): r for r in rawlines.consistent(rows).collect()}
+    assert got[1, 5]["failed_casts"] == ["quoting"] and got[1, 5]["rsid"] is None and got[1, 4]["failed_casts"] == ["position", "allele2"] and got[1, 3]["chromosome"] == "X"
+
+
+def test_join_of_a_hot_key(spark):
+    big = spark.range(1000).selectExpr("case when id % 3 > 0 then 'hot' when id % 50 = 0 then null else cast(id as string) end as k", "id as v")
+    small = spark.createDataFrame([("hot", 1), ("3", 2), ("6", 3), (None, 4)], "k string, w int")
+    plain = sorted(tuple(r) for r in big.join(small, "k").collect())
+    assert sorted(tuple(r) for r in skew.salted_join(big, small, ["k"], ["v"], chunk_rows=100).select("k", "v", "w").collect()) == plain
+    assert sorted(tuple(r) for r in skew.measured_join(big, small, ["k"], ["v"]).select("k", "v", "w").collect()) == plain
+    assert skew.salted_join(big, small, ["k"], ["v"], "left", 100).count() == 1000 and skew.salted_join(big, small, ["k"], ["v"], "left_anti", 100).count() == big.join(small, "k", "left_anti").count()
+
+
 def test_no_lines(spark):
     empty = spark.createDataFrame([], "file_id long, line_no int, line string")
     rows, files = rawlines.parse(rawlines.read_lines({v: empty for v in rawlines.BASE}))
