@@ -4,6 +4,8 @@ import random
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from genoquery.llm import leaks, matching, packing, quantiles, queries, reading
@@ -249,3 +251,34 @@ def test_each_listed_alternate_has_its_key(spark):
 
 def test_matching_of_nothing(spark):
     assert matching.match(spark.createDataFrame([], OBS), spark.createDataFrame([], CAT)).count() == 0
+
+
+def test_items_of_any_length_and_script(spark, monkeypatch):
+    items = [
+        (1, "Ataxia telangiectasia mutated"), (2, "遺伝子の変異は親から子へ受け継がれる"), (3, "Мутация передаётся от родителей к детям по наследству"), (4, "ok go"), (5, ""), (None, "x y z"),
+        (6, "A carrier of one changed copy stays well for a whole life and may never know it"), (7, "A carrier of one changed copy stays well for a whole life and may never know it"),
+    ]
+    docs = [
+        (1, "We read that ataxia-telangiectasia, mutated, was meant."), (2, "本文。遺伝子の変異は親から子へ受け継がれる。終わり"), (3, "Как известно, мутация передается от родителей к детям по наследству."), (4, "We say ok, go on."),
+        (5, "book gone"), (6, "so: a carrier of one changed copy stays well for a whole life, and may never know it"), (7, None), (8, ""), (9, "遺伝子だけ"), (10, "от родителей"),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = {(1, 1), (2, 2), (3, 3), (4, 4), (6, 6), (6, 7)}
+    rows = {(r["doc_id"], r["item_id"]): r for r in leaks.find(df, items).collect()}
+    assert set(rows) == want
+    text = dict(docs)
+    assert text[2][rows[2, 2]["first_char"] : rows[2, 2]["last_char"] + 1] == "遺伝子の変異は親から子へ受け継がれる"
+    assert text[3][rows[3, 3]["first_char"] : rows[3, 3]["last_char"] + 1].startswith("мутация") and text[6][rows[6, 6]["first_char"]] == "a"
+    monkeypatch.setattr(leaks, "MAX_ITEM_CHARS", 1)  # an automaton for each pattern
+    assert {tuple(r) for r in leaks.find(df, items).collect()} == {tuple(r) for r in rows.values()}
+
+
+@given(st.text(max_size=60))
+@settings(max_examples=150, deadline=None)
+def test_offsets_of_folded_text(text):
+    letters, at = leaks.squeezed_with_offsets(text)
+    assert letters == leaks.squeeze(leaks.fold(text)) and len(at) == len(letters) and at == sorted(at)
+
+
+def test_stretch_of_a_leak_is_where_most_of_it_stands():
+    assert leaks.stretch({"abc": [2, 102], "def": [105], "ghi": [108]}, 20) == (100, 108)
