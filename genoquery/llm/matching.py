@@ -3,12 +3,19 @@
 Both sides become one record per variant with a locus, a change and a name. The
 q-grams of each attribute set bits of fixed vectors: the locus (four overlapping
 grids of neighbouring positions), the name (positional digit pairs) and the
-change. Close vectors are found by multi-index Hamming hashing: a vector is cut
-into ``CHUNKS`` chunks, two vectors that differ in fewer bits than there are
-chunks agree on one, and so do two loci up to ``REACH`` bases apart, as a grid's
-q-gram lies in one chunk. Field-weighted Dice scores of the pairs become
-confidences calibrated on the agreement of names; then place and change are
-compared exactly.
+change. Close vectors are found exactly by multi-index Hamming hashing: a vector
+is cut into ``CHUNKS`` chunks, pairs that agree on a chunk are candidates, and
+those within ``MAX_HAMMING`` bits are kept. Loci up to ``REACH`` + 1 bases apart lie in
+different cells of at most two grids, so they differ in at most that many bits
+and agree on a chunk: no such pair is lost.
+
+Field-weighted Dice scores of the pairs (the locus by cells of 1 to 32 bases) become
+confidences. Names are the labels of the calibration: the share of agreeing names in a
+bin of scores, as a part of that among pairs alike in all else, is the share of true
+matches in the bin. Other alternates of a site
+share its name, so a pair of known and unlike changes is labelled false. A pair's own
+name then moves its confidence by Bayes' rule. Pairs of at least ``LEAST_CONFIDENCE`` are
+matches unless the exact check of place and change that follows refuses them.
 """
 
 from __future__ import annotations
@@ -25,6 +32,9 @@ CHUNKS = 4
 GRID = 32
 REACH = 9
 BITS = 6  # of a locus q-gram, in a chunk of 64
+MAX_HAMMING = 4 * BITS  # two grids' cells on either side
+LEAST_CONFIDENCE = 0.1  # low, as the exact check follows
+MAX_STRETCHES = 500_000
 WEIGHTS = {"locus": 0.5, "change": 0.35, "name": 0.15}
 LIFT_BIN = 1_000_000
 MAX_POSITION = 260_000_000  # no chromosome is longer; bounds the lift table
@@ -61,21 +71,26 @@ def locus_vector(chrom: Column, pos: Column) -> Column:
     return F.when(chrom.isNotNull() & pos.isNotNull(), F.array(*[_or([_bit(h, i) for i in range(BITS)]) for h in cells]))
 
 
+def fine_vector(chrom: Column, pos: Column) -> Column:
+    """Two chunks with the cells of 1 to 32 bases that hold the position, in two grids each: the nearer two loci, the more they share."""
+    bits = lambda sizes: _or([_bit(F.xxhash64(chrom, F.floor((pos + at) / size), F.lit(size), F.lit(at)), i) for size in sizes for at in {0, size // 2} for i in (0, 1)])
+    return F.when(chrom.isNotNull() & pos.isNotNull(), F.array(bits([1, 2, 4]), bits([8, 16, 32])))
+
+
 def name_vector(name: Column) -> Column:
-    """Four chunks; chunk j has the positional digit pairs of a ten-digit name that do not touch its j-th part."""
-    d = F.lpad(name, 12, "0")
+    """Four chunks; chunk j has the positional digit pairs of the last twelve digits that do not touch its j-th part."""
+    d = F.when(F.length(name) > 12, F.substring(name, -12, 12)).otherwise(F.lpad(name, 12, "0"))
     chunks = []
     for j in range(CHUNKS):
         pairs = [i for i in range(11) if not {i // 3, (i + 1) // 3} & {j}]
         chunks.append(_or([_bit(F.xxhash64(F.substring(d, i + 1, 2), F.lit(i)), 0) for i in pairs]))
-    return F.when(name.isNotNull() & (F.length(name) <= 12), F.array(*chunks))
+    return F.when(name.isNotNull(), F.array(*chunks))
 
 
 def change_vector(kind: Column, seq: Column) -> Column:
-    """One chunk: the kind, and the letter pairs of the change."""
-    grams = F.transform(F.sequence(F.lit(0), F.greatest(F.length(seq) - 2, F.lit(0))), lambda i: _bit(F.xxhash64(F.substring(seq, i + 1, F.lit(2))), 0))
-    bits = F.aggregate(grams, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
-    return F.coalesce(bits, F.lit(0).cast("long")).bitwiseOR(_bit(F.xxhash64(kind), 0)).bitwiseOR(_bit(F.xxhash64(kind), 1))
+    """One chunk: the letter pairs of the change, each with the kind of the change."""
+    grams = F.transform(F.sequence(F.lit(0), F.greatest(F.length(seq) - 2, F.lit(0))), lambda i: _bit(F.xxhash64(F.substring(seq, i + 1, F.lit(2)), kind), 0))
+    return F.coalesce(F.aggregate(grams, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)), F.lit(0).cast("long"))
 
 
 def dice(a: Column, b: Column) -> Column:
@@ -84,17 +99,29 @@ def dice(a: Column, b: Column) -> Column:
     return 2.0 * total(F.zip_with(a, b, lambda x, y: x.bitwiseAND(y))) / (total(a) + total(b))
 
 
+def hamming(a: Column, b: Column) -> Column:
+    """The number of bits in which two vectors differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, c: s + c)
+
+
 def lift_table(catalogue: DataFrame) -> DataFrame:
     """``chrom, bin, segments``: by million bases of the older assembly, the stretches of constant offset in and around it.
 
-    The offsets come from the catalogue's rows with both positions. The table has at most a row per million bases of a
-    chromosome, however large the catalogue, so it may be collected and broadcast.
+    The offsets come from the catalogue's rows with both positions. A row whose neighbours on either side agree on another offset
+    is mistaken; every other stretch counts, however short. Stretches are as many as the assemblies' alignment has,
+    which does not grow with the catalogue; more than ``MAX_STRETCHES`` are refused as no such alignment.
     """
     both = catalogue.select(clean_chrom(F.col("grch37_chrom")).alias("chrom"), F.col("grch37_pos").alias("p"), (F.col("grch38_pos") - F.col("grch37_pos")).alias("offset"))
     both = both.where(F.col("p").between(1, MAX_POSITION) & F.col("offset").isNotNull() & F.col("chrom").rlike("^(?:[0-9]{1,2}|X|Y|MT?)$"))
-    seen = both.withColumn("bin", F.floor(F.col("p") / LIFT_BIN)).groupBy("chrom", "bin", "offset").agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("lo"), F.max("p").alias("hi"))
-    # an offset that few of a bin's rows have is a mistaken row; at most ten offsets of a bin remain
-    kept = seen.withColumn("all", F.sum("n").over(Window.partitionBy("chrom", "bin"))).where(F.col("n") * 10 > F.col("all")).collect()
+    seen = both.groupBy("chrom", "p", "offset").agg(F.count(F.lit(1)).alias("n")).groupBy("chrom", "p").agg(F.max_by("offset", F.struct("n", "offset")).alias("offset"))
+    # a bin has at most as many rows as bases
+    w = Window.partitionBy("chrom", F.floor(F.col("p") / LIFT_BIN)).orderBy("p")
+    kept = seen.select("*", F.lag("offset").over(w).alias("a"), F.lead("offset").over(w).alias("z")).where(F.coalesce((F.col("a") != F.col("z")) | (F.col("a") == F.col("offset")), F.lit(True)))
+    runs = kept.withColumn("run", F.sum(F.coalesce((F.lag("offset").over(w) != F.col("offset")).cast("int"), F.lit(0))).over(w))
+    found = runs.groupBy("chrom", F.floor(F.col("p") / LIFT_BIN).alias("bin"), "run", "offset").agg(F.min("p").alias("lo"), F.max("p").alias("hi")).limit(MAX_STRETCHES + 1).collect()
+    if len(found) > MAX_STRETCHES:
+        raise ValueError("the catalogue's two positions are not tied by stretches of constant offset")
+    kept = found
     by: dict[str, list] = {}
     for r in sorted(kept, key=lambda r: (r["chrom"], r["lo"], r["hi"])):
         runs = by.setdefault(r["chrom"], [])
@@ -205,25 +232,31 @@ def catalogue_variants(catalogue: DataFrame, table: DataFrame) -> DataFrame:
     return c.withColumn("pos", F.when((F.col("r") == "-") | (F.col("a") == "-"), F.col("pos") - 1).otherwise(F.col("pos")))
 
 
-def _index(df: DataFrame, ids: list[str], vector: str) -> DataFrame:
-    return df.where(F.col(vector).isNotNull()).select(*ids, F.posexplode(vector).alias("__j", "__chunk")).distinct()
+def _index(df: DataFrame, id_col: str, vector: str, as_name: str) -> DataFrame:
+    return df.where(F.col(vector).isNotNull()).select(id_col, F.col(vector).alias(as_name), F.posexplode(vector).alias("__j", "__chunk"))
+
+
+def _close(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The pairs of two indexes within ``MAX_HAMMING`` bits that agree on a chunk, each from the first chunk they agree on."""
+    pairs = left.join(right, ["__j", "__chunk"])
+    first = F.array_position(F.zip_with("__left", "__right", lambda x, y: x == y), True) - 1
+    return pairs.where((F.col("__j") == first) & (hamming(F.col("__left"), F.col("__right")) <= MAX_HAMMING)).select("variant_key", "cid")
 
 
 def candidates(keys: DataFrame, entries: DataFrame) -> DataFrame:
-    """``variant_key, cid`` of the pairs that share a chunk of the locus vector, or, where a side has no locus, of the name vector."""
-    on = ["__j", "__chunk"]
-    by_place = _index(keys, ["variant_key"], "locus").join(_index(entries, ["cid"], "locus"), on)
+    """``variant_key, cid`` of the pairs with close locus vectors, or, where a side has no locus, close name vectors."""
+    by_place = _close(_index(keys, "variant_key", "locus", "__left"), _index(entries, "cid", "locus", "__right"))
     named = entries.select("cid", "locus", F.explode("names").alias("name")).withColumn("named", name_vector(F.col("name")))
-    lost_entries = _index(named.where(F.col("locus").isNull()), ["cid"], "named")
-    lost_keys = _index(keys.where(F.col("locus").isNull()), ["variant_key"], "named")
-    by_name = _index(keys, ["variant_key"], "named").join(lost_entries, on).select("variant_key", "cid").unionByName(lost_keys.join(_index(named, ["cid"], "named"), on).select("variant_key", "cid"))
-    return by_place.select("variant_key", "cid").unionByName(by_name).distinct()
+    lost_keys = keys.where(F.col("locus").isNull())
+    a = _close(_index(keys, "variant_key", "named", "__left"), _index(named.where(F.col("locus").isNull()), "cid", "named", "__right"))
+    b = _close(_index(lost_keys, "variant_key", "named", "__left"), _index(named.where(F.col("locus").isNotNull()), "cid", "named", "__right"))
+    return by_place.unionByName(a.unionByName(b).distinct())
 
 
 def score(keys: DataFrame, entries: DataFrame) -> DataFrame:
     """The candidate pairs with their Dice scores per field and the comparison of place and change."""
-    k = keys.select("variant_key", *[F.col(c).alias(f"k_{c}") for c in ("chrom", "pos", "type", "seq", "size", "name", "locus", "named", "change", "r", "a")])
-    e = entries.select("cid", "chrom", "pos", "type", "seq", "size", "names", "locus", "change", "r", "a")
+    k = keys.select("variant_key", *[F.col(c).alias(f"k_{c}") for c in ("chrom", "pos", "type", "seq", "size", "name", "fine", "named", "change", "r", "a")])
+    e = entries.select("cid", "chrom", "pos", "type", "seq", "size", "names", "fine", "change", "r", "a")
     pairs = candidates(keys, entries).join(k, "variant_key").join(e, "cid")
     d = F.col("pos") - F.col("k_pos")
     s, t, ks = F.col("seq"), F.col("type"), F.col("k_seq")
@@ -242,7 +275,7 @@ def score(keys: DataFrame, entries: DataFrame) -> DataFrame:
     names = F.array_max(F.transform("names", lambda n: dice(name_vector(n), F.col("k_named"))))
     return pairs.select(
         "variant_key", "cid", F.when(F.col("chrom") == F.col("k_chrom"), d).alias("d"), ((F.col("chrom") != F.col("k_chrom")) & F.col("pos").isNotNull() & F.col("k_pos").isNotNull()).alias("elsewhere"), F.coalesce(t, F.col("k_type")).alias("type"), same.alias("same"),
-        F.array_contains("names", F.col("k_name")).alias("named"), dice(F.col("locus"), F.col("k_locus")).alias("locus"), names.alias("name"), dice(F.array("change"), F.array("k_change")).alias("change"),
+        F.array_contains("names", F.col("k_name")).alias("named"), dice(F.col("fine"), F.col("k_fine")).alias("locus"), names.alias("name"), F.when(s.isNotNull() & ks.isNotNull(), dice(F.array("change"), F.array("k_change"))).alias("change"),
     )
 
 
@@ -256,18 +289,57 @@ def weighted(fields: list[str]) -> Column:
     return F.when(w > 0, x / w).otherwise(F.lit(0.0))
 
 
-def calibrate(pairs: DataFrame, bins: int = 20) -> list[float]:
-    """The share of pairs whose names agree, by bins of the score without names, made monotone by pooling neighbours."""
-    b = F.least(F.floor(weighted(["locus", "change"]) * bins), F.lit(bins - 1)).cast("int")
-    got = {r["b"]: (r["n"], r["y"]) for r in pairs.where(F.col("name").isNotNull()).groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("name") >= 0.75).cast("long")).alias("y")).collect()}
-    pools: list[list[float]] = []
-    for i in range(bins):
-        n, y = got.get(i, (0, 0))
-        pools.append([y + 0.5, n + 1.0, 1])
-        while len(pools) > 1 and pools[-2][0] / pools[-2][1] > pools[-1][0] / pools[-1][1]:
-            last = pools.pop()
-            pools[-1] = [pools[-1][0] + last[0], pools[-1][1] + last[1], pools[-1][2] + last[2]]
-    return [p[0] / p[1] for p in pools for _ in range(int(p[2]))]
+def _class() -> Column:
+    """The kind of evidence of a pair: SNP or not, both changes known or not."""
+    return (F.coalesce(F.col("type") == "snp", F.lit(False)).cast("int") * 2 + F.col("change").isNotNull().cast("int")).cast("int")
+
+
+def _bin(bins: int) -> Column:
+    return F.least(F.floor(weighted(["locus", "change"]) * bins), F.lit(bins - 1)).cast("int")
+
+
+AGREE = 0.75  # Dice of two names that differ in a digit at most
+CHANCE = 0.01  # how often names of different places agree
+
+
+def calibrate(pairs: DataFrame, bins: int = 20) -> tuple[list[list[float]], float]:
+    """By kind of evidence and bin of the score without names: the share of true matches; and the share of agreeing names in true pairs.
+
+    Names are independent of place and change: among the pairs of a bin they agree as often as its mix of true and other
+    pairs makes them. The shares are made monotone by pooling neighbouring bins. At most 8 * ``bins`` rows are collected.
+    """
+    both = pairs.where(F.col("name").isNotNull() & F.col("locus").isNotNull())
+    whole = (weighted(["locus", "change"]) >= 0.999) & F.col("change").isNotNull()
+    unlike = F.coalesce(F.col("change") < 0.5, F.lit(False))
+    rows = both.groupBy(_class().alias("c"), _bin(bins).alias("b"), whole.alias("whole")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("name") >= AGREE).cast("long")).alias("named"), F.sum(((F.col("name") >= AGREE) & ~unlike).cast("long")).alias("y")).collect()
+    share = lambda some: (sum(r["named"] for r in some) + 0.05) / (sum(r["n"] for r in some) + 1.0)
+    true_agree = max(share([r for r in rows if r["whole"]]), 2 * CHANCE)
+    out = []
+    for c in range(4):
+        pools: list[list[float]] = []
+        for i in range(bins):
+            mine = [r for r in rows if (r["c"], r["b"]) == (c, i)]
+            n, y = sum(r["n"] for r in mine), sum(r["y"] for r in mine)
+            pools.append([y, n, 1])
+            while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+                last = pools.pop()
+                pools[-1] = [x + z for x, z in zip(pools[-1], last)]
+        # a bin without pairs takes what the other kinds suggest for it: half
+        agree = [(y / n if n else None, n) for y, n, k in pools for _ in range(int(k))]
+        out.append([0.5 if a is None else min(1 - 0.5 / (n + 1), max(0.5 / (n + 1), (a - CHANCE) / (true_agree - CHANCE))) for a, n in agree])
+    return out, true_agree
+
+
+def confidence_of(calibration: tuple[list[list[float]], float]) -> Column:
+    """The probability that a pair means one variant, from its scores and the agreement of names.
+
+    A pair without a place on both sides was found by its name, and is as sure as true names are and as its changes are alike.
+    """
+    table, true_agree = calibration
+    base = F.element_at(F.element_at(F.array(*[F.array(*map(F.lit, t)) for t in table]), _class() + 1), _bin(len(table[0])) + 1)
+    by = F.when(F.col("name").isNull(), 1.0).when(F.col("named") | (F.col("name") >= AGREE), true_agree / CHANCE).otherwise((1 - true_agree) / (1 - CHANCE))
+    odds = base / (1 - base) * by
+    return F.when(F.col("locus").isNull(), F.when(F.col("named"), true_agree).otherwise(0.0) * F.coalesce("change", F.lit(1.0))).otherwise(odds / (1 + odds))
 
 
 def match(observations: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -280,7 +352,7 @@ def match(observations: DataFrame, catalogue: DataFrame) -> DataFrame:
     """
     table = lift_table(catalogue)
     keys = observed_variants(observations, table)
-    vec = {"locus": locus_vector(F.col("chrom"), F.col("pos"))}
+    vec = {"locus": locus_vector(F.col("chrom"), F.col("pos")), "fine": fine_vector(F.col("chrom"), F.col("pos"))}
     canon = F.when(F.col("type") == "snp", F.array_min(F.array(F.array_join(F.array_sort(F.split("seq", "")), ""), F.array_join(F.array_sort(F.split(complement(F.col("seq")), "")), "")))).otherwise(F.least(F.col("seq"), complement(F.col("seq"))))
     keys = durable(keys.withColumns(vec | {"named": name_vector(F.col("name")), "change": change_vector(F.coalesce("type", F.lit("?")), canon)}))
     # entries of one content are compared once, however often they are repeated
@@ -290,13 +362,9 @@ def match(observations: DataFrame, catalogue: DataFrame) -> DataFrame:
     members = written.select("cid", "variant_id", "a").distinct()
     entries = durable(written.select("cid", *content).dropDuplicates(["cid"]).withColumns(vec | {"change": change_vector(F.coalesce("type", F.lit("?")), canon)}))
     pairs = durable(score(keys, entries))
-    table_ = calibrate(pairs)
+    confidence = confidence_of(calibrate(pairs))
     total = weighted(["locus", "change", "name"])
-    b = F.least(F.floor(weighted(["locus", "change"]) * len(table_)), F.lit(len(table_) - 1)).cast("int")
-    base = F.element_at(F.array(*[F.lit(x) for x in table_]), b + 1)
-    agree = F.col("named") | (F.col("name") >= 0.75)
-    unlike = F.col("name") < 0.75
-    confidence = F.when(agree, 1 - (1 - base) * 0.1).when(unlike, base * 0.8).otherwise(base)
+    agree = F.col("named") | (F.col("name") >= AGREE)
     far = F.abs("d")
     ok = (
         F.when(F.col("elsewhere"), False).when(F.col("d").isNull(), F.col("named") & (F.col("same") >= 0.5)).when(far == 0, F.col("same") >= 0.5)
@@ -307,7 +375,8 @@ def match(observations: DataFrame, catalogue: DataFrame) -> DataFrame:
     near = F.when(far <= 3, -far).when(far > 3, F.when(agree, -4).otherwise(-5)).otherwise(-50)
     place = F.struct(near.alias("near"), F.coalesce(-far, F.lit(-50)).alias("far"))
     rank = F.struct(F.col("same").alias("a"), F.coalesce(F.col("named"), F.lit(False)).alias("b"), near.alias("c"))
-    held = pairs.where(ok).select("variant_key", "cid", F.col("d").alias("shift"), confidence.alias("confidence"), total.alias("score"), place.alias("place"), rank.alias("rank"))
+    # the exact check refuses another place or another change, however sure the scores are
+    held = pairs.withColumn("confidence", confidence).where((F.col("confidence") >= LEAST_CONFIDENCE) & ok).select("variant_key", "cid", F.col("d").alias("shift"), "confidence", total.alias("score"), place.alias("place"), rank.alias("rank"))
     held = salted_join(members, held, ["cid"], ["variant_id"])
     # an entry has one place; each alternate it lists there has keys of its own
     at = held.withColumn("at", F.max("place").over(Window.partitionBy("variant_id"))).where("place.far = at.far")
