@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from genoquery.session import durable
 
@@ -19,6 +20,8 @@ BLOCK = "__block"
 AT = "__at"
 BROADCAST_BYTES = 32 << 20
 CHUNK_ROWS = 2_000_000
+SPAN = 1024
+FAN_IN = 1024
 
 
 def bounded(small: DataFrame) -> bool:
@@ -70,14 +73,19 @@ def number_rows(df: DataFrame, key: str, chunk_rows: int) -> DataFrame:
     """Adds ``__n`` (the row's number within its key, from 1, in block and row order) and ``__chunk``.
 
     ``df`` has ``__block`` and ``__at``. The window over rows is per block and key,
-    so no task holds more than a block of a hot key; the window over counts has a
-    row per block and key. Rows without a key are dropped: null is no key.
+    so no task holds more than a block of a hot key. The prefix sum has two levels, so
+    its windows have a row per span of blocks (a file, or ``SPAN`` numbered blocks) and a row
+    per block of a span. Rows without a key are dropped: null is no key.
     """
     rows = df.where(F.col(key).isNotNull())
     within = rows.withColumn("__i", F.row_number().over(Window.partitionBy(BLOCK, key).orderBy(AT)))
-    counts = rows.groupBy(key, BLOCK).agg(F.count(F.lit(1)).alias("__c"))
-    before = Window.partitionBy(key).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(key, BLOCK, F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__offset"))
+    span = F.regexp_replace(BLOCK, "#[^#]*$", "") if isinstance(df.schema[BLOCK].dataType, StringType) else F.floor(F.col(BLOCK) / SPAN)
+    counts = rows.groupBy(key, span.alias("__span"), BLOCK).agg(F.count(F.lit(1)).alias("__c"))
+    before = lambda keys, by: Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    spans = counts.groupBy(key, "__span").agg(F.sum("__c").alias("__c"))
+    spans = spans.select(key, "__span", F.coalesce(F.sum("__c").over(before([key], "__span")), F.lit(0)).alias("__first"))
+    inner = counts.withColumn("__offset", F.coalesce(F.sum("__c").over(before([key, "__span"], BLOCK)), F.lit(0)))
+    offsets = inner.join(spans, [key, "__span"]).select(key, BLOCK, (F.col("__first") + F.col("__offset")).alias("__offset"))
     return within.join(offsets, [key, BLOCK]).withColumn("__n", F.col("__offset") + F.col("__i")).withColumn("__chunk", F.floor((F.col("__n") - 1) / chunk_rows)).drop("__i", "__offset")
 
 
@@ -114,13 +122,23 @@ def key_runs(df: DataFrame, key: str, flag: Column, chunk_rows: int = 50_000) ->
         F.when(F.col("first.a") == F.col("lo"), F.col("first.len")).otherwise(F.lit(0)).alias("head"),
         F.when(F.col("last.b") == F.col("hi"), F.col("last.len")).otherwise(F.lit(0)).alias("tail"),
     )
-    state = "struct<rows:bigint,best:bigint,tail:bigint>"
-    ordered = F.array_sort(F.collect_list(F.struct("__chunk", "rows", "best", "head", "tail")))
-    merged = F.aggregate(
-        ordered, F.struct(F.lit(0).cast("long").alias("rows"), F.lit(0).cast("long").alias("best"), F.lit(0).cast("long").alias("tail")).cast(state),
+    # the states of FAN_IN neighbours become one, three times over: no task holds more than so many of a key
+    for last in (False, False, True):
+        group = F.lit(0).cast("long") if last else F.floor(F.col("__chunk") / FAN_IN).cast("long")
+        merged = states.groupBy(key, group.alias("__chunk_")).agg(_joined_runs().alias("s"), F.sum("hits").alias("hits"))
+        states = merged.select(key, F.col("__chunk_").alias("__chunk"), "s.rows", "s.best", "hits", "s.head", "s.tail")
+    return states.select(key, "rows", "hits", F.col("best").alias("longest_run"))
+
+
+def _joined_runs() -> Column:
+    """The state of neighbouring chunks, joined in their order: rows, longest run, runs at the start and at the end."""
+    state = "struct<rows:bigint,best:bigint,head:bigint,tail:bigint>"
+    zero = F.struct(*[F.lit(0).cast("long").alias(x) for x in ("rows", "best", "head", "tail")])
+    return F.aggregate(
+        F.array_sort(F.collect_list(F.struct("__chunk", "rows", "best", "head", "tail"))), zero.cast(state),
         lambda s, c: F.struct(
             (s["rows"] + c["rows"]).alias("rows"), F.greatest(s["best"], c["best"], s["tail"] + c["head"]).alias("best"),
+            F.when(s["head"] == s["rows"], s["rows"] + c["head"]).otherwise(s["head"]).alias("head"),
             F.when(c["head"] == c["rows"], s["tail"] + c["rows"]).otherwise(c["tail"]).alias("tail"),
         ).cast(state),
     )
-    return states.groupBy(key).agg(F.sum("rows").alias("rows"), F.sum("hits").alias("hits"), merged["best"].alias("longest_run"))

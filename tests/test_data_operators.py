@@ -156,3 +156,12 @@ def test_no_lines(spark):
     empty = spark.createDataFrame([], "file_id long, line_no int, line string")
     rows, files = rawlines.parse(rawlines.read_lines({v: empty for v in rawlines.BASE}))
     assert rawlines.failures(rows).count() == rawlines.changes(files).count() == 0
+
+
+def test_runs_joined_over_many_chunks(spark):
+    # three million chunks of one row of one key; runs of 1000 broken by every 1001st row
+    rows = spark.range(3_000_000, numPartitions=4).select(F.lit("k").alias("key"), F.floor(F.col("id") / 65536).alias(skew.BLOCK), F.col("id").alias(skew.AT), (F.col("id") % 1001 != 1000).alias("f"))
+    got = skew.key_runs(rows, "key", F.col("f"), 1).collect()
+    assert [tuple(r) for r in got] == [("k", 3_000_000, 3_000_000 - 3_000_000 // 1001, 1000)]
+    one = skew.key_runs(rows.where(F.col(skew.AT) < 5000), "key", F.lit(True), 7).collect()
+    assert [tuple(r) for r in one] == [("k", 5000, 5000, 5000)]
