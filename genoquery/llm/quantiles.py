@@ -20,6 +20,8 @@ from genoquery.session import ship
 
 PERMITTED = 0.0005  # of n, each way
 BUFFER = 100_000  # values held per group before they are summarised
+HELD = 4_000_000  # values that a task holds in all groups
+TUPLES = 1_000_000  # tuples of summaries that a task holds before it passes them on
 FAN_IN = 32
 COLUMNS = ["n", "rank_error", "value", "lt_lo", "lt_hi", "le_lo", "le_hi"]
 SCHEMA = "n long, rank_error double, value array<double>, lt_lo array<long>, lt_hi array<long>, le_lo array<long>, le_hi array<long>"
@@ -89,8 +91,9 @@ def _from_row(r) -> Summary:
 def summarise(df: DataFrame, keys: Sequence[str], measure: str, value: str, permitted: float = PERMITTED) -> DataFrame:
     """A summary per group and input partition of a long table (keys, measure, value), then merged. See ``combine``.
 
-    Null and NaN values are left out; null keys are a group of their own. A group of which a third of all rows are part
-    is summarised where its rows lie, so only summaries move.
+    Null and NaN values are left out; null keys are a group of their own. Values are summarised where they lie, so only
+    summaries move, however many rows one group has. A task holds at most ``HELD`` values and ``TUPLES`` tuples (and a batch):
+    beyond these the largest groups are summarised, and the summaries passed on to be merged.
     """
     cols = [*keys, measure]
 
@@ -101,8 +104,13 @@ def summarise(df: DataFrame, keys: Sequence[str], measure: str, value: str, perm
 
         def flush(k: tuple) -> None:
             s = Summary.of(np.concatenate(held.pop(k)))
+            size.pop(k)
             done[k] = (done[k].merge(s) if k in done else s).compress(permitted)
-            size[k] = 0
+
+        def out() -> pd.DataFrame:
+            rows = [(*k, *s.row()) for k, s in done.items()]
+            done.clear()
+            return pd.DataFrame(rows, columns=[*cols, *COLUMNS])
 
         for batch in batches:
             batch = batch[batch[value].notna()]
@@ -112,9 +120,18 @@ def summarise(df: DataFrame, keys: Sequence[str], measure: str, value: str, perm
                 size[k] = size.get(k, 0) + len(part)
                 if size[k] >= BUFFER:
                     flush(k)
+            if sum(size.values()) > HELD:
+                for k in sorted(size, key=size.get, reverse=True):
+                    flush(k)
+                    if sum(size.values()) * 2 < HELD:
+                        break
+            if sum(len(s.value) for s in done.values()) > TUPLES:
+                yield out()
         for k in list(held):
             flush(k)
-        yield pd.DataFrame([(*k, *s.row()) for k, s in done.items()], columns=[*cols, *COLUMNS])
+            if len(done) % 1000 == 0 and sum(len(s.value) for s in done.values()) > TUPLES:
+                yield out()
+        yield out()
 
     ship(df.sparkSession)
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in cols)
@@ -125,7 +142,9 @@ def summarise(df: DataFrame, keys: Sequence[str], measure: str, value: str, perm
 def combine(summaries: DataFrame, keys: Sequence[str], permitted: float = PERMITTED) -> DataFrame:
     """One summary per group from any number of them (partitions, loads, days), in levels of ``FAN_IN``; the rank error is tracked.
 
-    A null and an absent summary are the same. A single summary comes back as it is, compressed.
+    A null and an absent summary are the same. A single summary comes back as it is, compressed. The summaries of a group
+    are merged in an order that their contents give, so the result does not depend on how tasks were cut or which came first;
+    a task holds ``FAN_IN`` summaries of one group.
     """
     ship(summaries.sparkSession)
     fields = ", ".join(f"`{c}` {summaries.schema[c].dataType.simpleString()}" for c in keys)
@@ -136,18 +155,28 @@ def combine(summaries: DataFrame, keys: Sequence[str], permitted: float = PERMIT
         return todo[0].compress(permitted)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, list[Summary]] = {}
+        at, mine = None, []
         for pdf in batches:
+            out = []
             for k, r in zip(pdf[list(keys)].itertuples(index=False, name=None), pdf.itertuples(index=False)):
-                mine = held.setdefault(tuple(None if x is None or x != x else x for x in k), [])
+                k = tuple(None if x is None or x != x else x for x in k)
+                if mine and k != at:
+                    out.append((*at, *tree(mine).row()))
+                    mine = []
+                at = k
                 mine.append(_from_row(r))
                 if len(mine) >= FAN_IN:
-                    mine[:] = [tree(mine)]
-        yield pd.DataFrame([(*k, *tree(v).row()) for k, v in held.items()], columns=[*keys, *COLUMNS])
-
-    part = F.pmod(F.xxhash64(F.col("n"), F.spark_partition_id()), F.lit(FAN_IN))
-    first = summaries.withColumn("__part", part).repartition(*keys, "__part").drop("__part").mapInPandas(run, f"{fields}, {SCHEMA}")
-    return first.repartition(*keys).mapInPandas(run, f"{fields}, {SCHEMA}")
+                    mine = [tree(mine)]
+            yield pd.DataFrame(out, columns=[*keys, *COLUMNS])
+        if mine:
+            yield pd.DataFrame([(*at, *tree(mine).row())], columns=[*keys, *COLUMNS])
+
+    mark = F.xxhash64("n", "value", "le_lo", "lt_hi")
+    order = [*keys, "n", "__mark"]
+    some = summaries.where(F.col("n").isNotNull()).withColumn("__mark", mark)
+    first = some.withColumn("__part", F.pmod("__mark", F.lit(FAN_IN))).repartition(*keys, "__part").sortWithinPartitions(*keys, "__part", "n", "__mark")
+    parts = first.drop("__mark", "__part").mapInPandas(run, f"{fields}, {SCHEMA}")
+    return parts.withColumn("__mark", mark).repartition(*keys).sortWithinPartitions(*order).drop("__mark").mapInPandas(run, f"{fields}, {SCHEMA}")
 
 
 def percentiles(summaries: DataFrame, keys: Sequence[str], pcts: Sequence[float]) -> DataFrame:
