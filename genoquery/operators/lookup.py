@@ -11,7 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BIN = 16_384
+from genoquery.operators.skew import salted_join
+
+BIN = 16_384  # of lift-over blocks
+LEAST_BIN_BITS = 6
+WIDEN = 16
+MOST_BASES = 1 << 28  # no chromosome is longer
+HOT_READS = 20_000
 
 
 def by_name(rows: DataFrame, specs: DataFrame) -> DataFrame:
@@ -49,13 +55,26 @@ def every_spec(pids: DataFrame, specs: DataFrame, found: DataFrame) -> DataFrame
 def overlaps(reads: DataFrame, loci: DataFrame, loose: int = 0) -> DataFrame:
     """Pairs of reads (chrom, start, stop) and loci (chrom, lo, hi) that overlap; ``loose`` bases are allowed on the left.
 
-    Both sides are spread over bins of ``BIN`` bases; a pair counts in the bin where the later of the two begins.
+    Bins are as wide as nine in ten reads are long, so that a pile-up falls apart into many bins; a longer locus goes to a
+    level of wider bins, ``WIDEN`` times each, and a read is looked up in the levels that have loci. A pair counts in the bin
+    where the later of the two begins. A bin that holds very many reads is spread over several tasks. Rows with a null match nothing.
     """
-    bins = lambda a, b: F.explode(F.sequence(F.floor(a / BIN), F.floor(b / BIN)))
-    r = reads.withColumn("__from", F.col("start") - loose).withColumn("__bin", bins(F.col("start") - loose, F.col("stop")))
-    q = loci.withColumn("__bin", bins(F.col("lo"), F.col("hi")))
+    size = reads.agg(F.percentile_approx(F.col("stop") - F.col("start") + loose, 0.9).alias("p"), F.count(F.lit(1)).alias("n")).first()
+    widths = [1 << max(LEAST_BIN_BITS, int(size["p"] or 0).bit_length())]
+    while widths[-1] < MOST_BASES:
+        widths.append(widths[-1] * WIDEN)
+    levels = F.array(*map(F.lit, widths)).cast("array<bigint>")
+    wide = F.array_min(F.filter(levels, lambda w: w > F.col("hi") - F.col("lo")))
+    q = loci.dropna(subset=["chrom", "lo", "hi"]).withColumn("__width", F.coalesce(wide, F.lit(widths[-1]).cast("long")))
+    present = [r["__width"] for r in q.select("__width").distinct().collect()]  # at most as many as there are levels
+    bins = lambda a, b: F.sequence(F.floor(a / F.col("__width")), F.floor(b / F.col("__width")))
+    r = reads.withColumn("__from", F.col("start") - loose).withColumn("__width", F.explode(F.array(*map(F.lit, present)).cast("array<bigint>")))
+    r = r.withColumn("__bin", F.explode(bins(F.col("__from"), F.col("stop"))))
+    q = q.withColumn("__bin", F.explode(bins(F.col("lo"), F.col("hi"))))
     hit = (F.col("stop") >= F.col("lo")) & (F.col("__from") <= F.col("hi"))
-    return r.join(q, ["chrom", "__bin"]).where(hit & (F.floor(F.greatest("__from", "lo") / BIN) == F.col("__bin"))).drop("__from", "__bin")
+    # at most 100,000 bins are hot
+    pairs = salted_join(r, q, ["chrom", "__width", "__bin"], ["start", "stop"], chunk_rows=max(HOT_READS, size["n"] // 100_000))
+    return pairs.where(hit & (F.floor(F.greatest("__from", "lo") / F.col("__width")) == F.col("__bin"))).drop("__from", "__width", "__bin")
 
 
 def vcf_matches() -> Column:
