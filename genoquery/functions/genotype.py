@@ -338,3 +338,14 @@ def match_complex(a1: Column, a2: Column, ref: Column, alt: Column) -> Column:
     in_ref, in_alt = (lambda x: F.contains(ref, x)), (lambda x: F.contains(alt, x))
     some = F.size(bases) > 0
     return F.when(some & F.forall(bases, in_alt) & ~F.exists(bases, in_ref), "VARIANT_CALL").when(some & F.forall(bases, in_ref) & ~F.exists(bases, in_alt), "REFERENCE_CALL").otherwise("NO_CALL")
+
+
+def genotype_from_hds(hds: Column, ref: Column, alt: Column) -> Column:
+    """The genotype of haplotype dosages: the alternate from one half on; a lone haplotype is completed by the reference.
+
+    Null without dosages or alternate.
+    """
+    picked = F.transform(hds, lambda x: F.when(x >= 0.5, alt).otherwise(ref))
+    both = F.when(F.size(picked) == 1, F.concat(picked, F.array(ref))).otherwise(picked)
+    long_ = F.exists(both, lambda a: F.length(a) > 1)
+    return F.when((F.size(picked) <= 0) | alt.isNull(), None).when(long_, F.array_join(both, "/")).otherwise(normalize_genotype(F.array_join(both, "/")))

@@ -52,6 +52,19 @@ def every_spec(pids: DataFrame, specs: DataFrame, found: DataFrame) -> DataFrame
     return pids.join(specs.select("vid"), F.lit(True)).join(found, ["pid", "vid"], "left")
 
 
+def misses(specs: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """The specs that nothing was found for."""
+    return specs.join(found.select(key).distinct(), key, "left_anti")
+
+
+def require(specs: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """``specs``, if all of them were found; a miss is an error that names one."""
+    miss = misses(specs, found, key).first()
+    if miss is not None:
+        raise LookupError(f"required, but not found: {miss[key]}")
+    return specs
+
+
 def overlaps(reads: DataFrame, loci: DataFrame, loose: int = 0) -> DataFrame:
     """Pairs of reads (chrom, start, stop) and loci (chrom, lo, hi) that overlap; ``loose`` bases are allowed on the left.
 

@@ -89,12 +89,24 @@ def inspection(spark, sf):
 _TXT = "P1", ["rs1\t1\t100\tAG", "rs2\tX\t7\tTT"]
 
 
-@query("api_01", "select * from (values ('P1', 'rs1', 'AG'), ('P1', 'rs2', 'TT')) t(pid, rsid, genotype)")
+_FORMS = "select record_id, pid, rsid, chrom, pos, ref, alt, display, record_id % 2 as form from (" + CALLS + ") where rsid like 'rs%' and chrom is not null and pos is not null and length(ref) = 1 and length(alt) = 1 and ref <> alt and length(display) = 2 and record_id is not null"
+_LOADED = f"select rsid, min(genotype) as least, max(genotype) as most, count(*) as n from (select form, rsid, case when form = 1 then case when display = ref || ref then ref || ref when display in (ref || alt, alt || ref) then least(ref, alt) || greatest(ref, alt) when display = alt || alt then alt || alt else '--' end else case when display = '--' then '--' else least(substr(display, 1, 1), substr(display, 2, 1)) || greatest(substr(display, 1, 1), substr(display, 2, 1)) end end as genotype from {plain(_FORMS)} where regexp_full_match(display, '[ACGT]{{2}}|--')) group by 1"
+
+
+@query("api_01", _LOADED)
 def api_01(spark, sf):
+    """SNP rows written as plain text and as VCF without its ending, and loaded in one call."""
+    r = view(spark, sf, _FORMS).where("display rlike '^(?:[ACGT]{2}|--)$'")
     place = _place(spark)
-    spark.createDataFrame([("\n".join(["rsid\tchromosome\tposition\tgenotype", *_TXT[1]]),)], "value string").coalesce(1).write.text(place)
-    rows = Engine(spark).load_genotypes([place])
-    return rows.select(F.lit("P1").alias("pid"), "rsid", "genotype")
+    plain_line = F.concat_ws("\t", "rsid", "chrom", "pos", "display")
+    two = lambda a, b: F.concat(a, b)
+    gt = F.when(C("display") == two("ref", "ref"), "0/0").when(C("display").isin(two("ref", "alt"), two("alt", "ref")) | (C("display") == two("ref", "alt")) | (C("display") == two("alt", "ref")), "0/1").when(C("display") == two("alt", "alt"), "1/1").otherwise("./.")
+    vcf_line = F.concat_ws("\t", "chrom", "pos", "rsid", "ref", "alt", F.lit("."), F.lit("."), F.lit("."), F.lit("GT"), gt)
+    head = lambda line: spark.createDataFrame([(line,)], "value string")
+    head("rsid\tchromosome\tposition\tgenotype").unionByName(r.where("form = 0").select(plain_line.alias("value"))).coalesce(1).write.text(f"{place}/p0")
+    head("##fileformat=VCFv4.2").unionByName(r.where("form = 1").select(vcf_line.alias("value"))).coalesce(1).write.text(f"{place}/p1")
+
+    return Engine(spark).load_genotypes([f"{place}/p0", f"{place}/p1"]).groupBy("rsid").agg(F.min("genotype").alias("least"), F.max("genotype").alias("most"), F.count(F.lit(1)).alias("n"))
 
 
 QUERIES["src_02"], SQL["src_02"] = api_01, SQL["api_01"]
@@ -163,7 +175,6 @@ def src_18(spark, sf):
 
 
 QUERIES["api_07"], SQL["api_07"] = src_18, SQL["src_18"]
-QUERIES["src_19"], SQL["src_19"] = src_18, SQL["src_18"]
 
 
 @query("api_08", "select 'GTA' as bases")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from genoquery.functions import genotype as G
 from genoquery.operators import cohort, inspect, lookup, reads, vntr
 from genoquery.plans.cases import CALLS, READS, ROWS, SPECS, Cases, flatten, plain, view
-from genoquery.session import table
+from genoquery.operators.skew import bounded
+from genoquery.session import new_folder, table
+from genoquery.sources import text
 
 C = F.col
 QUERIES: dict = {}
@@ -136,38 +138,63 @@ def join_12(spark, sf):
     return rows.join(cache, ["pid", "row_idx"], "left").select("pid", "row_idx", F.coalesce("kept", "genotype").alias("genotype"), C("kept").isNotNull().alias("cached"))
 
 
-@query("join_13", f"select vid from {_S} s where not exists (select 1 from {_R} r where r.rsid = s.rsid)")
+_WANTED = "select vid, rsid from (" + SPECS + ") union all select cast(-1 - n_nationkey as bigint) as vid, concat('rs-', n_name) as rsid from {nation}"
+
+
+@query("join_13", f"select vid from {plain(_WANTED)} s where not exists (select 1 from {_R} r where r.rsid = s.rsid)")
 def join_13(spark, sf):
-    return view(spark, sf, SPECS).join(view(spark, sf, ROWS), "rsid", "left_anti").select("vid")
+    """The required entries that the rows lack, for which ``lookup.require`` stops."""
+    return lookup.misses(view(spark, sf, _WANTED), view(spark, sf, ROWS), "rsid").select("vid")
 
 
 FINDINGS = Cases("fid string, ord int, effect string, op string, allele string, k string, vals array<string>, copies int", [
     ("f1", 1, "carrier", "dosage_in", "T", None, ["1", "2"], None), ("f1", 2, "two copies", "dosage_equals", "T", None, ["2"], 2), ("f2", 1, "outcome", "equals", None, "outcome", ["variant"], None), ("f3", 1, "zyg", "in", None, "zygosity", ["het", "hom_alt"], None),
     ("f4", 1, "alt", "equals", None, "alt", ["G"], None), ("f5", 1, "bad", "unknown", None, "outcome", ["variant"], None), ("f6", 1, "single", "equals", None, "zygosity", ["hem_alt"], 1),
 ])
-_FJ = f"""select fid, ord, pid, rid from (select f.fid, f.ord, o.pid, min(o.record_id) as rid from (select * from {plain(CALLS)} where ref is not null and alt is not null and genotype is not null) o join {FINDINGS.sql()} f on
-    (f.copies is null or f.copies = case when o.zygosity in ('hem_ref', 'hem_alt') then 1 when o.zygosity in ('hom_ref', 'het', 'hom_alt') then 2 end) and case
+# every finding without a variant, and bound to one name of every gene, written as a path
+_KEYED = CALLS.replace(" from {observations}", ", variant_key as vkey from {observations}")
+_NAMES = "select min(lower(trim(rsid))) as rsid from {variant_catalogue} where gene is not null and rsid is not null group by gene"
+_BOUND = f"(select *, '' as ref_ from {FINDINGS.sql()} union all select f.* replace (f.fid || '@' || n.rsid as fid), 'panel/' || n.rsid from {FINDINGS.sql()} f, {plain(_NAMES)} n)"
+_FJ = f"""select fid, ord, pid, rid from (select f.fid, f.ord, o.pid, min(o.record_id) as rid from (select * from {plain(_KEYED)} where ref is not null and alt is not null and genotype is not null) o join {_BOUND} f on
+    (f.ref_ = '' or o.rsid = split_part(f.ref_, '/', 2) or o.vkey = split_part(f.ref_, '/', 2))
+    and (f.copies is null or f.copies = case when o.zygosity in ('hem_ref', 'hem_alt') then 1 when o.zygosity in ('hom_ref', 'het', 'hom_alt') then 2 end) and case
     when op in ('dosage_equals', 'dosage_in') then list_contains(vals, cast(case when allele = ref then case when zygosity = 'hom_ref' then 2 when zygosity in ('hem_ref', 'het') then 1 when zygosity in ('hom_alt', 'hem_alt') then 0 end
       when allele = alt then case when zygosity in ('hom_ref', 'hem_ref') then 0 when zygosity in ('het', 'hem_alt') then 1 when zygosity = 'hom_alt' then 2 end else length(display) - length(replace(upper(display), allele, '')) end as varchar))
     when k = 'alt' then list_contains(vals, alt) and case when zygosity in ('het', 'hem_alt', 'hom_alt') then true else false end
     when op in ('equals', 'in') and k = 'outcome' then list_contains(vals, outcome) when op in ('equals', 'in') and k = 'zygosity' then list_contains(vals, zygosity) else false end group by all)"""
 
 
-def _matched(spark, sf):
-    obs = view(spark, sf, CALLS).dropna(subset=["ref", "alt", "genotype"])
-    f = FINDINGS.df(spark)
+def bound_findings(obs, findings, obs_keys, ref):
+    """The first observation (by record_id) per finding, effect and participant whose variant and values the finding is bound to.
+
+    A finding's variant reference names an observation by one of ``obs_keys`` or by the last part of its path, which is an equi-join
+    on that part; only findings without a reference meet every observation, and these come with a manifest: their size is checked.
+    """
+    base = lambda c: F.substring_index(c, "/", -1)
+    keys = F.array_distinct(F.filter(F.array(*[base(C(k)) for k in obs_keys]), lambda x: x.isNotNull()))
+    named = findings.where(C(ref) != "").withColumn("key_", base(C(ref)))
+    by_name = obs.withColumn("key_", F.explode(keys)).join(named, "key_").drop("key_")
+    loose = findings.where(C(ref) == "")
+    if not bounded(loose):
+        raise ValueError("too many findings without a variant")
     d = G.dosage(C("allele"), C("ref"), C("alt"), C("zygosity"), C("display")).cast("string")
     value = F.when(C("k") == "outcome", C("outcome")).when(C("k") == "zygosity", C("zygosity")).when(C("k") == "alt", C("alt"))
     shown = F.coalesce(F.exists("vals", lambda v: G.dosage(v, C("ref"), C("alt"), C("zygosity"), C("display")) > 0), F.lit(False))
     ok = F.when(C("op").isin("dosage_equals", "dosage_in"), F.array_contains("vals", d)).when(~C("op").isin("equals", "in"), False).when(C("k") == "alt", F.array_contains("vals", value) & shown).otherwise(F.array_contains("vals", value))
     copies = C("copies").isNull() | (C("copies") == G.chromosome_count(C("zygosity")))
-    # the findings come with a manifest and are few; the first observation wins, as an aggregate that combines before the shuffle
-    return obs.join(F.broadcast(f), F.coalesce(ok, F.lit(False)) & copies).groupBy("fid", "ord", "pid").agg(F.min("record_id").alias("rid"))
+    hit = F.coalesce(ok, F.lit(False)) & copies
+    # the first observation wins, as an aggregate that combines before the shuffle
+    both = by_name.where(hit).select("fid", "ord", "pid", "record_id").unionByName(obs.join(F.broadcast(loose), hit).select("fid", "ord", "pid", "record_id"))
+    return both.groupBy("fid", "ord", "pid").agg(F.min("record_id").alias("rid"))
 
 
 @query("join_14", _FJ)
 def join_14(spark, sf):
-    return _matched(spark, sf)
+    obs = view(spark, sf, _KEYED).dropna(subset=["ref", "alt", "genotype"])
+    f = FINDINGS.df(spark)
+    each = F.array(*[F.struct(*[F.lit(v).cast(t).alias(n) if not isinstance(v, list) else F.array(*map(F.lit, v)).alias(n) for n, t, v in zip(FINDINGS.names, FINDINGS.types, r)]) for r in FINDINGS.rows])
+    per_gene = view(spark, sf, _NAMES).select("rsid", F.explode(each).alias("f")).select("f.*", F.concat(F.lit("panel/"), "rsid").alias("ref_")).withColumn("fid", F.concat("fid", F.lit("@"), F.substring_index("ref_", "/", -1)))
+    return bound_findings(obs, f.withColumn("ref_", F.lit("")).unionByName(per_gene), ["vkey", "rsid"], "ref_")
 
 
 ANALYSIS = Cases("aid string, pid int, r int, k string, v string", [("apol1", 1, 1, "status", "G1/G0"), ("apol1", 2, 1, "status", "G2/G2"), ("apol1", 2, 2, "status", "G1/G0"), ("eye", 1, 1, "colour", "Blue"), ("apol1", 3, 1, "risk", "high")])
@@ -646,9 +673,14 @@ def agg_25(spark, sf):
     return alts.join(people, ["chrom", "pos"])
 
 
-@query("agg_28", "select source, cast(sum(length(text) - length(replace(text, chr(10), ''))) as bigint) as lines, count(*) as records from documents where text is not null group by 1")
+@query("agg_28", f"select chrom, count(*) as records from {plain(READS)} group by 1")
 def agg_28(spark, sf):
-    return table(spark, sf, "documents").where("text is not null").groupBy("source").agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).alias("lines"), F.count(F.lit(1)).alias("records"))
+    """Records of FASTQ files: written from the reads, a file or more a chromosome, and counted by their lines."""
+    place = new_folder(spark)
+    r = view(spark, sf, READS)
+    r.select("chrom", F.explode(F.array(F.concat(F.lit("@"), "name"), "base", F.lit("+"), F.lit("I"))).alias("value")).write.partitionBy("chrom").text(place)
+    lines = text.read_lines(spark, [place]).withColumn("file", F.regexp_extract("file", "chrom=([^/]+)", 1))
+    return text.fastq_records(lines).withColumnRenamed("file", "chrom")
 
 
 # --- windows, sorts, sets

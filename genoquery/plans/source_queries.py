@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from genoquery.functions import genotype as G
-from genoquery.operators.cohort import merge_replicates
 from genoquery.plans.cases import CALLS, Cases, flatten, plain, view
 from genoquery.session import table
 from genoquery.sources import binary, manifest, sinks, text
@@ -117,10 +116,7 @@ HDS = Cases("i int, ref string, alt string, h array<double>", [(1, "A", "G", [0.
 @query("src_15", f"""with a as (select i, list_transform(h, lambda x: case when x >= 0.5 then alt else ref end) as l, ref from {HDS.sql()}), b as (select i, case when len(l) = 1 then list_append(l, ref) else l end as l from a)
     select i, case when len(l) = 0 then null when len(list_filter(l, lambda x: length(x) > 1)) > 0 then array_to_string(l, '/') else array_to_string(list_sort(l), '') end as genotype from b""")
 def src_15(spark, sf):
-    picked = F.transform("h", lambda x: F.when(x >= 0.5, C("alt")).otherwise(C("ref")))
-    both = F.when(F.size(picked) == 1, F.concat(picked, F.array("ref"))).otherwise(picked)
-    long_ = F.exists(both, lambda a: F.length(a) > 1)
-    return HDS.df(spark).select("i", F.when(F.size(picked) == 0, None).when(long_, F.array_join(both, "/")).otherwise(G.normalize_genotype(F.array_join(both, "/"))).alias("genotype"))
+    return HDS.df(spark).select("i", G.genotype_from_hds(C("h"), C("ref"), C("alt")).alias("genotype"))
 
 
 ZIPS = [["readme.md", "d/", "d/x.CSV"], ["a.bin", "b.bin"], ["x.vcf.gz", "y.txt"]]
@@ -360,10 +356,27 @@ def src_25(spark, sf):
     return r.select("file", "line_no", none("rsid").alias("rsid"), none("chromosome").alias("chrom"), none("position").try_cast("long").alias("position"), C("row")["genotype"].alias("genotype"), none("gs").try_cast("double").alias("gs"))
 
 
-@query("leg_08", f"select pid, rsid, case when count(distinct g) = 1 then min(g) else '--' end as genotype from (select pid, rsid, nullif(display, '--') as g from {plain(CALLS)} where rsid is not null) group by 1, 2")
+_LEG = f"(select *, substr(genotype, 1, 1) as a1, substr(genotype, 2, 1) as a2, case when length(ref) = 1 and length(alt) = 1 then 'SNV' when length(ref) = 1 and length(alt) > 1 then 'INSERTION' when length(ref) > 1 and length(alt) = 1 then 'DELETION' when length(ref) = length(alt) then 'INDEL' else 'MNV' end as variant_type from {plain(CALLS)} where length(genotype) = 2 and ref is not null and alt is not null)"
+_LEG_BASES = "list_filter([a1, a2], lambda x: x in ('A', 'C', 'G', 'T'))"
+
+
+@query("leg_08", f"""select pid as participant_id, gene, rsid, chrom as chromosome, pos as position, least(a1, a2) || greatest(a1, a2) as genotype, ref, alt, variant_type, case
+    when variant_type = 'SNV' then case when a1 = a2 and a1 = ref then 'REFERENCE_CALL' when a1 = alt or a2 = alt then 'VARIANT_CALL' else 'NO_CALL' end
+    when variant_type in ('INSERTION', 'DELETION') then case when (case variant_type when 'INSERTION' then 'I' else 'D' end) in (a1, a2) then 'VARIANT_CALL' when (case variant_type when 'INSERTION' then 'D' else 'I' end) in (a1, a2) then 'REFERENCE_CALL' else 'NO_CALL' end
+    when len({_LEG_BASES}) > 0 and len(list_filter({_LEG_BASES}, lambda x: contains(alt, x))) = len({_LEG_BASES}) and len(list_filter({_LEG_BASES}, lambda x: contains(ref, x))) = 0 then 'VARIANT_CALL'
+    when len({_LEG_BASES}) > 0 and len(list_filter({_LEG_BASES}, lambda x: contains(ref, x))) = len({_LEG_BASES}) and len(list_filter({_LEG_BASES}, lambda x: contains(alt, x))) = 0 then 'REFERENCE_CALL' else 'NO_CALL' end as match_type,
+    (a1 = ref)::int + (a2 = ref)::int as ref_count, (a1 = alt)::int + (a2 = alt)::int as alt_count, assay_id || '.txt' as filename from {_LEG}""")
 def leg_08(spark, sf):
-    c = view(spark, sf, CALLS).where("rsid is not null").select(F.struct("pid", "rsid").alias("k"), F.coalesce("display", F.lit("--")).alias("genotype"))
-    return merge_replicates(c, "k", "genotype").select("k.pid", "k.rsid", "genotype")
+    """The older matcher's report row of every two-allele call."""
+    c = view(spark, sf, CALLS).where("length(genotype) = 2 and ref is not null and alt is not null").withColumns({"a1": F.substring("genotype", 1, 1), "a2": F.substring("genotype", 2, 1), "variant_type": G.variant_type(C("ref"), C("alt"))})
+    both = F.array("a1", "a2")
+    kind = C("variant_type")
+    match = F.when(kind == "SNV", G.match_snv(C("a1"), C("a2"), F.array("ref"), F.array("alt"))).when(kind.isin("INSERTION", "DELETION"), G.match_indel(C("a1"), C("a2"), kind)).otherwise(G.match_complex(C("a1"), C("a2"), C("ref"), C("alt")))
+    count = lambda allele: F.size(F.filter(both, lambda x: x == C(allele)))
+    return c.select(
+        C("pid").alias("participant_id"), "gene", "rsid", C("chrom").alias("chromosome"), C("pos").alias("position"), F.array_join(F.array_sort(both), "").alias("genotype"), "ref", "alt", "variant_type", match.alias("match_type"),
+        count("ref").alias("ref_count"), count("alt").alias("alt_count"), F.concat("assay_id", F.lit(".txt")).alias("filename"),
+    )
 
 
 @query("api_05", "select participant_id as pid, genotype_display as genotype from observations where lower(rsid) = 'rs7040732293' and genotype_display is not null qualify row_number() over (partition by participant_id order by record_id, genotype_display) = 1")

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from genoquery.functions import genotype as G
 from genoquery.operators.packed import masked, restore
-from genoquery.operators.skew import salted_join
+from genoquery.operators.skew import measured_join
+from genoquery.session import durable
 
 # Names of the columns in exports, compared in lower case without blanks, "_" and "-".
 ALIASES = {
@@ -27,8 +28,22 @@ DEFAULT = ["rsid", "chromosome", "position", "genotype"]
 
 
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``file, line_no, line`` of text files; gzip is read as it is. ``line_no`` is the place in the file, not consecutive."""
-    return spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
+    """``file, line_no, line`` of text files; gzip is read as it is.
+
+    ``line_no`` rises along a file and is not consecutive: the block of the file in its upper bits, the line within the task in
+    the lower ones. Blocks of a file are at least 64 KB apart, so it does not matter which task reads which block.
+    """
+    return spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), place_in_file(F.col("_metadata.file_block_start")).alias("line_no"), F.col("value").alias("line"))
+
+
+def place_in_file(block_start: Column) -> Column:
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return F.shiftleft(F.floor(block_start / 65_536), 33) + within
+
+
+def fastq_records(lines: DataFrame) -> DataFrame:
+    """``file, records``: every fourth line begins a record, so a cut last record counts. A file without lines has no row."""
+    return lines.groupBy("file").agg(F.ceil(F.count(F.lit(1)) / 4).alias("records"))
 
 
 def delimiter(first: Column) -> Column:
@@ -64,8 +79,9 @@ def delimited(lines: DataFrame, alphabetical: bool = False) -> DataFrame:
     x = lines.where(F.trim("line") != "").select("file", "line_no", "line", text.alias("text"), is_comment.alias("comment"))
     data = F.when(~F.col("comment"), F.struct("line_no", "text"))
     first = x.groupBy("file").agg(F.min(data).alias("first"))
-    kind = first.select("file", F.col("first.line_no").alias("first_no"), F.col("first.text").alias("first_text"), delimiter(F.col("first.text")).alias("kind"))
-    comments = salted_join(x.where("comment"), kind, ["file"], ["line_no"]).where(F.col("first_no").isNull() | (F.col("line_no") < F.col("first_no")))
+    # a row per file, written so that its size is known and the lines are not read for it again
+    kind = durable(first.select("file", F.col("first.line_no").alias("first_no"), F.col("first.text").alias("first_text"), delimiter(F.col("first.text")).alias("kind")))
+    comments = measured_join(x.where("comment"), kind, ["file"], ["line_no"]).where(F.col("first_no").isNull() | (F.col("line_no") < F.col("first_no")))
     heads = comments.withColumn("fields", split_by(F.trim(F.regexp_replace("text", "^(?:#+|(?://)+)", "")), F.col("kind")))
     named = lambda f: G.column_name(F.get(f, F.lit(0))).isin(ALIASES["rsid"])
     above = heads.where(named(F.col("fields"))).groupBy("file").agg(F.max_by("fields", "line_no").alias("above"))
@@ -73,8 +89,8 @@ def delimited(lines: DataFrame, alphabetical: bool = False) -> DataFrame:
     has_head = named(F.col("own"))
     names = F.transform(F.when(has_head, F.col("own")).when(F.col("above").isNotNull(), F.col("above")).otherwise(F.array(*map(F.lit, DEFAULT))), lambda n: G.column_name(n))
     files = files.select("file", "kind", names.alias("names"), F.when(has_head, F.col("first_no")).alias("head_no"))
-    files = files.select("*", *[_index(F.col("names"), r).alias(f"i_{r}") for r in ALIASES])
-    rows = salted_join(x.where("not comment"), files, ["file"], ["line_no"]).where(F.col("head_no").isNull() | (F.col("line_no") != F.col("head_no")))
+    files = durable(files.select("*", *[_index(F.col("names"), r).alias(f"i_{r}") for r in ALIASES]))
+    rows = measured_join(x.where("not comment"), files, ["file"], ["line_no"]).where(F.col("head_no").isNull() | (F.col("line_no") != F.col("head_no")))
     rows = rows.withColumn("f", F.transform(split_by(F.regexp_replace("line", "^﻿", ""), F.col("kind")), lambda v: G.inline_comment(v)))
 
     def value(role: str) -> Column:
@@ -98,13 +114,14 @@ def final_report(lines: DataFrame) -> DataFrame:
     A report without one of its five columns gives no rows.
     """
     low = F.lower(F.trim("line"))
-    marks = lines.groupBy("file").agg(F.min(F.when(low == "[data]", F.col("line_no"))).alias("data_no"))
-    body = salted_join(lines.where(F.trim("line") != ""), marks, ["file"], ["line_no"]).where(F.col("line_no") > F.col("data_no")).withColumn("f", F.transform(F.split(F.regexp_replace("line", "[\r\n]+$", ""), "\t", -1), lambda v: F.trim(v)))
+    marks = durable(lines.groupBy("file").agg(F.min(F.when(low == "[data]", F.col("line_no"))).alias("data_no")))
+    body = measured_join(lines.where(F.trim("line") != ""), marks, ["file"], ["line_no"]).where(F.col("line_no") > F.col("data_no")).withColumn("f", F.transform(F.split(F.regexp_replace("line", "[\r\n]+$", ""), "\t", -1), lambda v: F.trim(v)))
     head = body.groupBy("file").agg(F.min(F.struct("line_no", "f")).alias("h"))
     names = F.transform(F.col("h.f"), lambda n: G.column_name(n))
     at = lambda *n: F.coalesce(*[F.nullif(F.array_position(names, x).cast("int"), F.lit(0)) for x in n])
     cols = head.select("file", F.col("h.line_no").alias("head_no"), at("snpname").alias("a"), at("chr", "chromosome", "chrom").alias("b"), at("position", "pos").alias("c"), at("allele1plus").alias("d"), at("allele2plus").alias("e")).dropna()
-    rows = salted_join(body, cols, ["file"], ["line_no"]).where(F.col("line_no") != F.col("head_no"))
+    cols = durable(cols)
+    rows = measured_join(body, cols, ["file"], ["line_no"]).where(F.col("line_no") != F.col("head_no"))
     get = lambda i: F.coalesce(F.try_element_at("f", F.col(i)), F.lit(""))
     none = get("d").isin("-", "") & get("e").isin("-", "")
     out = rows.select("file", "line_no", G.probe_rsid(get("a")).alias("rsid"), get("b").alias("chrom"), get("c").try_cast("long").alias("position"), F.when(none, "--").otherwise(G.normalize_genotype(F.concat(get("d"), get("e")))).alias("genotype"))
@@ -174,7 +191,7 @@ def table_rows(lines: DataFrame) -> DataFrame:
     """Rows of tab separated text as maps, by the first non-blank line's names; short rows are filled with empty text."""
     some = lines.where(F.trim("line") != "")
     head = some.groupBy("file").agg(F.min(F.struct("line_no", F.split("line", "\t", -1).alias("h"))).alias("h")).select("file", F.col("h.line_no").alias("head_no"), F.col("h.h").alias("h"))
-    rows = salted_join(some, head, ["file"], ["line_no"]).where(F.col("line_no") != F.col("head_no")).withColumn("f", F.split("line", "\t", -1))
+    rows = measured_join(some, head, ["file"], ["line_no"]).where(F.col("line_no") != F.col("head_no")).withColumn("f", F.split("line", "\t", -1))
     values = F.transform(F.col("h"), lambda _, i: F.coalesce(F.get("f", i), F.lit("")))
     return rows.select("file", "line_no", F.map_from_arrays("h", values).alias("row"))
 

@@ -140,3 +140,48 @@ def test_observations_in_full(spark):
     assert by[7]["alt"] == "T" and by[8]["facets"] == "observed_alt;known_observed_alts=T" and by[9]["facets"] == "unknown_alt" and by[2]["chrom"] == "X"
     assert by[4]["match_quality"] == "weak" and by[4]["match_notes"] and by[5]["match_quality"] is None and by[12]["allele_balance"] == 0.75
     assert (by[10]["match_status"], by[10]["coverage_status"], by[10]["kind"], by[10]["depth"]) == ("not_found", "covered", "unknown", None) and by[11]["coverage_status"] == "not_covered"
+
+
+def test_mixed_formats_in_one_call(spark, tmp_path):
+    (tmp_path / "P1.txt").write_text("rsid\tchromosome\tposition\tgenotype\nrs1\t1\t100\tAG\n")
+    (tmp_path / "P2").write_text("##fileformat=VCFv4.2\n1\t100\trs1\tA\tG\t.\t.\t.\tGT\t1/1\n")
+    (tmp_path / "P3.vcf").write_text("1\t100\trs1\tA\tG\t.\t.\t.\tGT\t0/0\n")
+    report = ["[Header]", "x", "[Data]", "SNP Name\tChr\tPosition\tAllele1 - Plus\tAllele2 - Plus", "rs1\t1\t100\tC\tC"]
+    (tmp_path / "P4.txt").write_text("\n".join(report))
+    for name, inner, lines in (("P5.zip", "a/x.txt", ["rsid,chromosome,position,genotype", "rs1,1,100,TT"]), ("P6.zip", "x.txt", ["##fileformat=VCFv4.2", "1\t100\trs1\tA\tT\t.\t.\t.\tGT\t0/1"])):
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            z.writestr("readme.md", "no")
+            z.writestr(inner, "\n".join(lines))
+    e = Engine(spark)
+    got = {r["pid"]: r["genotype"] for r in e.load_genotypes([str(p) for p in sorted(tmp_path.iterdir())]).collect()}
+    assert got == {"P1": "AG", "P2": "GG", "P3.vcf": "AA", "P4": "CC", "P5": "TT", "P6": "AT"}
+    for bad in (["a.bam"], ["a.txt", "b.cram"], []):
+        with pytest.raises(ValueError):
+            e.load_genotypes(bad)
+
+
+def test_line_numbers_follow_the_file(spark, tmp_path):
+    lines = [f"line {i:07d}" for i in range(60_000)]
+    (tmp_path / "a.txt").write_text("\n".join(lines))
+    (tmp_path / "b.txt").write_text("\n".join(lines[:1000]))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 131072)
+    try:
+        got = text.read_lines(spark, [str(tmp_path)]).orderBy("file", "line_no").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [r["line"] for r in got] == lines + lines[:1000]
+
+
+def test_required_entries(spark):
+    from genoquery.operators import lookup
+
+    specs, rows = spark.createDataFrame([("rs1",), ("rs2",)], "rsid string"), spark.createDataFrame([("rs1",)], "rsid string")
+    assert lookup.require(rows, specs, "rsid").count() == 1
+    with pytest.raises(LookupError, match="rs2"):
+        lookup.require(specs, rows, "rsid")
+
+
+def test_fastq_records(spark):
+    got = text.fastq_records(_lines(spark, {"a": ["@q", "A", "+", "I"] * 3, "b": ["@q", "A"], "c": []})).collect()
+    assert {tuple(r) for r in got} == {("a", 3), ("b", 1)}
