@@ -25,7 +25,7 @@ from bisect import bisect_left
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from genoquery.operators.skew import salted_join
+from genoquery.operators.skew import measured_join
 from genoquery.session import durable
 
 CHUNKS = 4
@@ -153,10 +153,16 @@ def lift(df: DataFrame, table: DataFrame, chrom: str, pos: str, out: str) -> Dat
     return both.withColumn(out, F.array_distinct(got)).drop("__bin", "segments")
 
 
-def _mode(votes: DataFrame, key: str, value: str) -> DataFrame:
-    """The most voted non-null value of each key; ties go to the larger value. ``votes`` has ``c``."""
-    some = votes.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.sum("c").alias("c"))
-    return some.groupBy(key).agg(F.max_by(value, F.struct("c", value)).alias(value))
+def _modes(votes: DataFrame, key: str, values: dict[str, Column]) -> DataFrame:
+    """The most voted non-null value of each name in ``values`` by key; ties go to the larger value. ``votes`` has ``c``.
+
+    ``votes`` are counts, so a hot key has few of them; they move once, by their key.
+    """
+    each = [F.struct(F.lit(i).alias("i"), *[(v if j == i else F.lit(None)).alias(f"v{j}") for j, v in enumerate(values.values())]) for i in range(len(values))]
+    vs = [f"v{j}" for j in range(len(values))]
+    melted = votes.repartition(key).select(key, "c", F.explode(F.array(*each)).alias("x")).select(key, "c", "x.*").where(" or ".join(f"{v} is not null" for v in vs))
+    some = melted.groupBy(key, "i", *vs).agg(F.sum("c").alias("c"))
+    return some.groupBy(key).agg(*[F.max_by(v, F.when(F.col("i") == j, F.struct("c", v))).alias(name) for j, (v, name) in enumerate(zip(vs, values))])
 
 
 def observed_variants(observations: DataFrame, table: DataFrame) -> DataFrame:
@@ -167,33 +173,27 @@ def observed_variants(observations: DataFrame, table: DataFrame) -> DataFrame:
     """
     o = observations.where(F.col("variant_key").isNotNull())
     p = F.when(F.col("pos_start").between(1, MAX_POSITION), F.col("pos_start"))
-    loci = o.groupBy("variant_key", "assay_id", clean_chrom(F.col("chrom")).alias("chrom"), (F.upper("assembly") == "GRCH37").alias("old"), p.alias("p")).agg(F.count(F.lit(1)).alias("c"))
-    loci = durable(loci)
+    loci = durable(o.groupBy("variant_key", "assay_id", clean_chrom(F.col("chrom")).alias("chrom"), (F.upper("assembly") == "GRCH37").alias("old"), p.alias("p")).agg(F.count(F.lit(1)).alias("c")))
     # a row without a chromosome takes its key's
-    chrom = _mode(loci, "variant_key", "chrom")
-    loci = loci.drop("chrom").join(chrom, "variant_key").where(F.col("p").isNotNull())
-    loci = lift(loci, table, "chrom", "p", "lifted").withColumn("pos", F.when(F.col("old"), F.try_element_at("lifted", F.lit(1))).otherwise(F.col("p")))
-    loci = durable(loci.where(F.col("pos").isNotNull()).groupBy("variant_key", "assay_id", "chrom", "pos").agg(F.sum("c").alias("c")))
-    usual = _mode(loci, "variant_key", "pos").withColumnRenamed("pos", "usual")
-    off = loci.join(usual, "variant_key").groupBy("assay_id").agg((F.sum(F.when(F.col("pos") - F.col("usual") == -1, F.col("c")).otherwise(0)) / F.sum("c")).alias("low"))
-    shifts = off.select("assay_id", F.when(F.col("low") > 0.5, 1).otherwise(0).alias("shift"))
-    right = salted_join(loci, shifts, ["assay_id"], ["variant_key", "pos"]).withColumn("pos", F.col("pos") + F.col("shift"))
-    pos = _mode(right, "variant_key", "pos")
+    chrom = _modes(loci, "variant_key", {"chrom": F.col("chrom")})
+    moved = loci.drop("chrom").join(chrom, "variant_key").where(F.col("p").isNotNull())
+    moved = lift(moved, table, "chrom", "p", "lifted").withColumn("pos", F.when(F.col("old"), F.try_element_at("lifted", F.lit(1))).otherwise(F.col("p")))
+    moved = moved.where(F.col("pos").isNotNull()).groupBy("variant_key", "assay_id", "chrom", "pos").agg(F.sum("c").alias("c"))
+    # the position most rows of a key have; its rows are together already
+    at = moved.withColumn("same", F.sum("c").over(Window.partitionBy("variant_key", "pos")))
+    at = durable(at.withColumn("usual", F.max(F.struct("same", "pos")).over(Window.partitionBy("variant_key"))["pos"]).drop("same"))
+    off = at.groupBy("assay_id").agg((F.sum(F.when(F.col("pos") - F.col("usual") == -1, F.col("c")).otherwise(0)) / F.sum("c")).alias("low"))
+    shifts = durable(off.select("assay_id", F.when(F.col("low") > 0.5, 1).otherwise(0).alias("shift")))
+    right = measured_join(at.select("variant_key", "assay_id", "chrom", "pos", "c"), shifts, ["assay_id"], ["variant_key", "pos"]).withColumn("pos", F.col("pos") + F.col("shift"))
+    place = _modes(right, "variant_key", {"chrom": F.col("chrom"), "pos": F.col("pos")})
     seq = lambda c: F.upper(F.trim(c))
-    # the counts are read several times and are far fewer than the rows
-    alleles = o.groupBy("variant_key", seq(F.col("reference")).alias("r"), seq(F.col("alternate")).alias("a"), F.lower("kind").alias("kind"), (F.col("pos_end") - F.col("pos_start")).alias("gap")).agg(F.count(F.lit(1)).alias("c"))
-    alleles = durable(alleles)
     known = F.col("r").rlike(ACGT) & F.col("a").rlike(ACGT) & ~((F.col("r") == "D") | (F.col("a") == "D"))
-    pair = _mode(alleles.withColumn("pair", F.when(known, F.struct("r", "a"))), "variant_key", "pair")
-    kind = _mode(alleles, "variant_key", "kind")
-    gap = _mode(alleles, "variant_key", "gap")
-    names = durable(o.groupBy("variant_key", clean_name(F.col("rsid")).alias("name")).agg(F.count(F.lit(1)).alias("c")))
-    keys = names.groupBy("variant_key").agg(F.sum("c").alias("n"))
-    out = keys
-    for x in (chrom, pos, pair, kind, gap, _mode(names, "variant_key", "name")):
-        out = out.join(x, "variant_key", "left")
-    k = out.select("variant_key", "n", "chrom", "pos", F.col("pair.r").alias("r"), F.col("pair.a").alias("a"), "kind", "gap", "name")
-    return with_change(k)
+    said = o.groupBy("variant_key", seq(F.col("reference")).alias("r"), seq(F.col("alternate")).alias("a"), F.lower("kind").alias("kind"), (F.col("pos_end") - F.col("pos_start")).alias("gap")).agg(F.count(F.lit(1)).alias("c"))
+    said = _modes(said, "variant_key", {"pair": F.when(known, F.struct("r", "a")), "kind": F.col("kind"), "gap": F.col("gap")})
+    names = o.groupBy("variant_key", clean_name(F.col("rsid")).alias("name")).agg(F.count(F.lit(1)).alias("c"))
+    names = names.groupBy("variant_key").agg(F.sum("c").alias("n"), F.max_by("name", F.when(F.col("name").isNotNull(), F.struct("c", "name"))).alias("name"))
+    out = names.join(place, "variant_key", "left").join(said, "variant_key", "left")
+    return with_change(out.select("variant_key", "n", "chrom", "pos", F.col("pair.r").alias("r"), F.col("pair.a").alias("a"), "kind", "gap", "name"))
 
 
 def with_change(df: DataFrame) -> DataFrame:
@@ -377,7 +377,7 @@ def match(observations: DataFrame, catalogue: DataFrame) -> DataFrame:
     rank = F.struct(F.col("same").alias("a"), F.coalesce(F.col("named"), F.lit(False)).alias("b"), near.alias("c"))
     # the exact check refuses another place or another change, however sure the scores are
     held = pairs.withColumn("confidence", confidence).where((F.col("confidence") >= LEAST_CONFIDENCE) & ok).select("variant_key", "cid", F.col("d").alias("shift"), "confidence", total.alias("score"), place.alias("place"), rank.alias("rank"))
-    held = salted_join(members, held, ["cid"], ["variant_id"])
+    held = measured_join(members, durable(held), ["cid"], ["variant_id"])
     # an entry has one place; each alternate it lists there has keys of its own
     at = held.withColumn("at", F.max("place").over(Window.partitionBy("variant_id"))).where("place.far = at.far")
     best = at.withColumn("top", F.max("rank").over(Window.partitionBy("variant_id", "a"))).where("rank = top")
