@@ -25,7 +25,7 @@ from bisect import bisect_left
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from genoquery.operators.skew import measured_join
+from genoquery.operators.skew import measured_join, salted_join
 from genoquery.session import durable
 
 CHUNKS = 4
@@ -377,7 +377,7 @@ def match(observations: DataFrame, catalogue: DataFrame) -> DataFrame:
     rank = F.struct(F.col("same").alias("a"), F.coalesce(F.col("named"), F.lit(False)).alias("b"), near.alias("c"))
     # the exact check refuses another place or another change, however sure the scores are
     held = pairs.withColumn("confidence", confidence).where((F.col("confidence") >= LEAST_CONFIDENCE) & ok).select("variant_key", "cid", F.col("d").alias("shift"), "confidence", total.alias("score"), place.alias("place"), rank.alias("rank"))
-    held = measured_join(members, durable(held), ["cid"], ["variant_id"])
+    held = salted_join(members, held, ["cid"], ["variant_id"])
     # an entry has one place; each alternate it lists there has keys of its own
     at = held.withColumn("at", F.max("place").over(Window.partitionBy("variant_id"))).where("place.far = at.far")
     best = at.withColumn("top", F.max("rank").over(Window.partitionBy("variant_id", "a"))).where("rank = top")
