@@ -105,7 +105,7 @@ def parse(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Parsed data lines, and one row per file with its layout and notation.
 
     Lines: ``vendor, file_id, line_no, broken, fields, shape, width, at_*, position_as, coded`` (``at_*`` are the places of the base
-    fields, from 1); the header and its repeats are left out. Files: ``vendor, file_id, names, roles, types`` and the notation columns. Each line is parsed once: its values
+    fields, from 1); the header and its repeats are left out. Files: ``vendor, file_id, names, profile, roles, types`` and the notation columns. Each line is parsed once: its values
     and their raw types (``shape``, a letter each) are written. All lines of a file have the same paths, so these are
     kept once per file, and the path-type statistics count whole shapes before they are divided into paths.
     Of two lines with the same number the first header is the lesser. An empty table gives no rows.
@@ -134,7 +134,7 @@ def parse(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     files = durable(files.withColumn("roles", roles_of()))
     files = files.withColumn("types", F.map_from_arrays(F.array(*map(F.lit, NAMES)), F.array(*[F.try_element_at("profile", at_role(r))["type"] for r in NAMES])))
     type_of = lambda r: F.col("types")[r]
-    files = durable(files.drop("profile").withColumns({
+    files = durable(files.withColumns({
         "position_as": F.when(type_of("position").isin("locus", "whole_decimal"), type_of("position")).otherwise("int"),
         "coded": F.coalesce((type_of("allele1") == "int") | (type_of("result") == "int"), F.lit(False)),
     }))

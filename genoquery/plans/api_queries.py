@@ -230,7 +230,7 @@ def src_30(spark, sf):
 def p6_profile(spark, sf):
     """The path-type statistics behind p6: per file and column the usual raw type and its count."""
     _, files = rawlines.parse(rawlines.read_lines({"ancestrydna_csv": table(spark, sf, "ancestrydna_csv_sample"), "familytreedna": table(spark, sf, "familytreedna_sample")}))
-    return files.select("vendor", "file_id", F.explode("profile").alias("path", "s")).select("vendor", "file_id", "path", "s.type", "s.n")
+    return files.select("vendor", "file_id", F.explode(F.arrays_zip("names", "profile")).alias("z")).where("z.profile is not null").select("vendor", "file_id", C("z.names").alias("path"), "z.profile.type", "z.profile.n")
 
 
 def queries() -> dict:
