@@ -11,13 +11,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from genoquery.operators.skew import salted_join
+from genoquery.operators.skew import with_salts
+from genoquery.session import durable
 
 BIN = 16_384  # of lift-over blocks
 LEAST_BIN_BITS = 6
 WIDEN = 16
 MOST_BASES = 1 << 28  # no chromosome is longer
-HOT_READS = 20_000
+SAME_PLACE = 4  # rows a place from which places are joined
+PLACE_ROWS = 4096
+HOT_PAIRS = 200_000_000
+TASK_PAIRS = 10_000_000
+TASK_ROWS = 1_000_000
+MOST_TASKS = 20_000
 
 
 def by_name(rows: DataFrame, specs: DataFrame) -> DataFrame:
@@ -70,24 +76,61 @@ def overlaps(reads: DataFrame, loci: DataFrame, loose: int = 0) -> DataFrame:
 
     Bins are as wide as nine in ten reads are long, so that a pile-up falls apart into many bins; a longer locus goes to a
     level of wider bins, ``WIDEN`` times each, and a read is looked up in the levels that have loci. A pair counts in the bin
-    where the later of the two begins. A bin that holds very many reads is spread over several tasks. Rows with a null match nothing.
+    where the later of the two begins. Rows with a null match nothing.
+
+    A side with many rows of the same place is joined by place, and the pairs of rows are made last, place by place: written
+    in this order they take a small part of the bytes. Tasks are as many as the pairs that bins can have ask for, and a bin
+    with very many is spread over several. Give only columns that are wanted: those of a place are moved together.
     """
+    keys = ["chrom", "__width", "__bin"]
+    reads, loci = reads.dropna(subset=["chrom", "start", "stop"]), loci.dropna(subset=["chrom", "lo", "hi"])
+    wanted = ["chrom", *[c for c in [*reads.columns, *loci.columns] if c != "chrom"]]
     size = reads.agg(F.percentile_approx(F.col("stop") - F.col("start") + loose, 0.9).alias("p"), F.count(F.lit(1)).alias("n")).first()
     widths = [1 << max(LEAST_BIN_BITS, int(size["p"] or 0).bit_length())]
     while widths[-1] < MOST_BASES:
         widths.append(widths[-1] * WIDEN)
     levels = F.array(*map(F.lit, widths)).cast("array<bigint>")
-    wide = F.array_min(F.filter(levels, lambda w: w > F.col("hi") - F.col("lo")))
-    q = loci.dropna(subset=["chrom", "lo", "hi"]).withColumn("__width", F.coalesce(wide, F.lit(widths[-1]).cast("long")))
-    present = [r["__width"] for r in q.select("__width").distinct().collect()]  # at most as many as there are levels
-    bins = lambda a, b: F.sequence(F.floor(a / F.col("__width")), F.floor(b / F.col("__width")))
-    r = reads.withColumn("__from", F.col("start") - loose).withColumn("__width", F.explode(F.array(*map(F.lit, present)).cast("array<bigint>")))
-    r = r.withColumn("__bin", F.explode(bins(F.col("__from"), F.col("stop"))))
-    q = q.withColumn("__bin", F.explode(bins(F.col("lo"), F.col("hi"))))
-    hit = (F.col("stop") >= F.col("lo")) & (F.col("__from") <= F.col("hi"))
-    # at most 100,000 bins are hot
-    pairs = salted_join(r, q, ["chrom", "__width", "__bin"], ["start", "stop"], chunk_rows=max(HOT_READS, size["n"] // 100_000))
-    return pairs.where(hit & (F.floor(F.greatest("__from", "lo") / F.col("__width")) == F.col("__bin"))).drop("__from", "__width", "__bin")
+    wide = F.coalesce(F.array_min(F.filter(levels, lambda w: w > F.col("hi") - F.col("lo"))), F.lit(widths[-1]).cast("long"))
+    counts = loci.groupBy(wide.alias("w")).count().collect()  # at most as many as there are levels
+    present = [r["w"] for r in counts]
+    bins = lambda a, b: F.explode(F.sequence(F.floor(a / F.col("__width")), F.floor(b / F.col("__width"))))
+    read_bins = lambda df: df.withColumn("__from", F.col("start") - loose).withColumn("__width", F.explode(F.array(*map(F.lit, present)).cast("array<bigint>"))).withColumn("__bin", bins(F.col("__from"), F.col("stop")))
+    locus_bins = lambda df: df.withColumn("__width", wide).withColumn("__bin", bins(F.col("lo"), F.col("hi")))
+
+    count = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    work = count(read_bins(reads), "__reads").join(count(locus_bins(loci), "__loci"), keys).withColumn("__pairs", F.col("__reads").cast("double") * F.col("__loci"))
+    cells = F.sum(F.ceil(F.col("__pairs") / HOT_PAIRS)).alias("cells")
+    plan = work.agg(F.sum("__pairs").alias("pairs"), F.max("__pairs").alias("most"), cells).first()
+    pairs, rows = plan["pairs"] or 0, size["n"] * len(present) + sum(r["count"] for r in counts)
+    tasks = int(min(MOST_TASKS, 1 + max(rows / TASK_ROWS, min(pairs / TASK_PAIRS, plan["cells"] or 0))))
+
+    (r, read_rows), (q, locus_rows) = _by_place(reads, ["chrom", "start", "stop"], "__reads"), _by_place(loci, ["chrom", "lo", "hi"], "__loci")
+    r, q = read_bins(r), locus_bins(q)
+    chunk = max(HOT_PAIRS, pairs / 100_000)  # at most 100,000 bins are hot
+    if (plan["most"] or 0) > chunk:
+        hot = durable(work.where(F.col("__pairs") > chunk).select(*keys, F.least(F.ceil(F.col("__pairs") / chunk), "__reads").cast("int").alias("__salts")))
+        r, q = with_salts(r, q, hot, keys, ["start", "stop", *(["__part"] if read_rows else [])])
+        keys.append("__salt")
+    hit = (F.col("stop") >= F.col("lo")) & (F.col("__from") <= F.col("hi")) & (F.floor(F.greatest("__from", "lo") / F.col("__width")) == F.col("__bin"))
+    out = r.drop("__part").repartition(tasks, *keys).join(q.drop("__part").repartition(tasks, *keys), keys).where(hit)
+    for rows in filter(None, (read_rows, locus_rows)):
+        out = out.select("*", F.inline(rows)).drop(rows)
+    return out.select(*wanted)
+
+
+def _by_place(df: DataFrame, place: list[str], name: str) -> tuple[DataFrame, str | None]:
+    """Of rows that share places: a row for each place and ``__part`` of it, and ``name``, the array of the other columns. Else the rows themselves and None."""
+    rest = [c for c in df.columns if c not in place]
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64(*place)).alias("places")).first()
+    if not rest or size["n"] < SAME_PLACE * max(1, size["places"]):
+        return df, None
+    most = max(PLACE_ROWS, size["n"] // 100_000)  # at most 100,000 places have parts
+    hot = df.groupBy(*place).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > most)
+    hot = durable(hot.select(*place, F.ceil(F.col("__rows") / most).cast("int").alias("__parts")))
+    part = F.lit(0)
+    if not hot.isEmpty():
+        df, part = df.join(F.broadcast(hot), place, "left"), F.pmod(F.xxhash64(*rest), F.coalesce("__parts", F.lit(1))).cast("int")
+    return df.withColumn("__part", part).groupBy(*place, "__part").agg(F.collect_list(F.struct(*rest)).alias(name)), name
 
 
 def vcf_matches() -> Column:

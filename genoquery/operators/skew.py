@@ -52,12 +52,18 @@ def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], spread: S
     hot = durable(hot.select(*keys, F.ceil(F.col("__rows") / chunk_rows).cast("int").alias("__salts")))
     if hot.isEmpty():
         return big.join(small, keys, how)
-    salts = F.coalesce("__salts", F.lit(1))
-    left = big.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.pmod(F.xxhash64(*spread), salts).cast("int")).drop("__salts")
-    right = small.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
+    left, right = with_salts(big, small, hot, keys, spread)
     return left.join(right, [*keys, "__salt"], how).drop("__salt")
 
 
+def with_salts(big: DataFrame, small: DataFrame, hot: DataFrame, keys: Sequence[str], spread: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``__salt``, which ends the join's key: rows of ``big`` have one, rows of ``small`` are repeated for each. ``hot`` has the ``__salts`` of some keys; others have one."""
+    salts = F.coalesce("__salts", F.lit(1))
+    left = big.join(F.broadcast(hot), list(keys), "left").withColumn("__salt", F.pmod(F.xxhash64(*spread), salts).cast("int")).drop("__salts")
+    right = small.join(F.broadcast(hot), list(keys), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
+    return left, right
+
+
 def with_file_order(df: DataFrame, block_rows: int = 65536) -> DataFrame:
     """Adds the block and place of each row of a file scan: ``__block`` and ``__at``.
 

@@ -102,13 +102,13 @@ LOCI = "select vid, chrom, pos as lo, pos + 20 as hi from (select p_partkey as v
 
 @query("join_09", f"select event_id, vid from {plain(READS)} r join {plain(LOCI)} l on r.chrom = l.chrom and r.stop >= l.lo and r.start <= l.hi")
 def join_09(spark, sf):
-    return lookup.overlaps(view(spark, sf, READS), view(spark, sf, LOCI)).select("event_id", "vid")
+    return lookup.overlaps(view(spark, sf, READS).select("event_id", "chrom", "start", "stop"), view(spark, sf, LOCI)).select("event_id", "vid")
 
 
 @query("join_10", f"select vid, count(*) as n from {plain(READS)} r join {plain(LOCI)} l on r.chrom = l.chrom and l.lo >= r.start - 1 and l.lo <= r.stop group by vid")
 def join_10(spark, sf):
     points = view(spark, sf, LOCI).withColumn("hi", C("lo"))
-    return lookup.overlaps(view(spark, sf, READS), points, loose=1).groupBy("vid").agg(_n())
+    return lookup.overlaps(view(spark, sf, READS).select("chrom", "start", "stop"), points, loose=1).groupBy("vid").agg(_n())
 
 
 BLOCKS = Cases("idx int, chrom string, start long, stop long, to_chrom string, to_start long, to_size long, strand string, score long", [

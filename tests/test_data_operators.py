@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from genoquery.operators import packed, rawlines, skew
+from genoquery.operators import lookup, packed, rawlines, skew
 
 DELIMS = "|;/&"
 
@@ -152,6 +152,36 @@ def test_join_of_a_hot_key(spark):
     assert skew.salted_join(big, small, ["k"], ["v"], "left", 100).count() == 1000 and skew.salted_join(big, small, ["k"], ["v"], "left_anti", 100).count() == big.join(small, "k", "left_anti").count()
 
 
+def test_overlaps_by_place_are_all_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    place = lambda most: (lambda a: (a, a + rng.choice([-3, 0, 20, most])))(rng.choice([-70, 3, 60, 64, 190]))
+    reads = [(rng.choice([None, i % 40]), rng.choice(["1", "2", None]), *place(90)) for i in range(400)] + [(7, "1", 5, 9)] * 3 + [(8, "1", None, 9)]
+    loci = [(rng.choice([None, i % 30]), rng.choice(["1", "2", None]), *place(9000)) for i in range(300)] + [(9, "1", 5, None)]
+    r, q = spark.createDataFrame(reads, "i long, chrom string, start long, stop long"), spark.createDataFrame(loci, "chrom_id long, chrom string, lo long, hi long")
+    for loose, limits in ((0, {}), (2, {"PLACE_ROWS": 5, "HOT_PAIRS": 50, "TASK_PAIRS": 100}), (2, {"SAME_PLACE": 1000, "HOT_PAIRS": 50})):
+        with monkeypatch.context() as m:
+            for name, value in limits.items():
+                m.setattr(lookup, name, value)
+            got = lookup.overlaps(r, q, loose)
+            assert got.columns == ["chrom", "i", "start", "stop", "chrom_id", "lo", "hi"]
+            brute = [(a[1], a[0], *a[2:], b[0], *b[2:]) for a in reads for b in loci if None not in (a[1], a[2], b[3]) and a[1] == b[1] and a[3] >= b[2] and a[2] - loose <= b[3]]
+            assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, brute))
+    assert lookup.overlaps(r.drop("i"), q, 2).count() == len(brute)
+    assert lookup.overlaps(r.limit(0), q).count() == lookup.overlaps(r, q.limit(0)).count() == 0
+
+
+def test_overlaps_of_a_pile_up_are_written_small(spark, tmp_path):
+    # 40 places of 30 reads and 40 of 150 loci; the rows of a place are far apart
+    r = spark.range(1200).selectExpr("id as i", "'1' as chrom", "id % 40 as start", "id % 40 + 49 as stop")
+    q = spark.range(6000).selectExpr("id * 1000003 as j", "'1' as chrom", "id % 40 as lo", "id % 40 + 20 as hi")
+    lookup.overlaps(r, q).select("i", "j").write.parquet(str(tmp_path / "pairs"))
+    back = spark.read.parquet(str(tmp_path / "pairs"))
+    per_row = sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) / back.count()
+    pairs = 30 * 150 * sum(a + 49 >= b and a <= b + 20 for a in range(40) for b in range(40))
+    assert back.count() == back.distinct().count() == pairs
+    assert per_row < 0.3
+
+
 def test_no_lines(spark):
     empty = spark.createDataFrame([], "file_id long, line_no int, line string")
     rows, files = rawlines.parse(rawlines.read_lines({v: empty for v in rawlines.BASE}))
