@@ -19,7 +19,7 @@ LEAST_BIN_BITS = 6
 WIDEN = 16
 MOST_BASES = 1 << 28  # no chromosome is longer
 SAME_PLACE = 4  # rows a place from which places are joined
-PLACE_ROWS = 4096
+PLACE_ROWS = 512
 HOT_PAIRS = 200_000_000
 TASK_PAIRS = 10_000_000
 TASK_ROWS = 1_000_000
@@ -113,8 +113,10 @@ def overlaps(reads: DataFrame, loci: DataFrame, loose: int = 0) -> DataFrame:
         keys.append("__salt")
     hit = (F.col("stop") >= F.col("lo")) & (F.col("__from") <= F.col("hi")) & (F.floor(F.greatest("__from", "lo") / F.col("__width")) == F.col("__bin"))
     out = r.drop("__part").repartition(tasks, *keys).join(q.drop("__part").repartition(tasks, *keys), keys).where(hit)
-    for rows in filter(None, (read_rows, locus_rows)):
-        out = out.select("*", F.inline(rows)).drop(rows)
+    if read_rows:  # compiled with the join, this would hold all pairs of a place's reads at once; a function of higher order is not compiled, so they are made one by one
+        out = out.select("*", F.inline(F.transform(read_rows, lambda x: x))).drop(read_rows)
+    if locus_rows:
+        out = out.select("*", F.inline(locus_rows)).drop(locus_rows)
     return out.select(*wanted)
 
 
